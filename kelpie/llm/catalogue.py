@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules, sharding, simhash
+from . import bpe, chat, quality_rules, sharding, simhash
 
 QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_bpe_automaton": bpe.op7_bpe_automaton,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
