@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality_rules, sharding, simhash
+from . import bpe, chat, packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe_automaton": bpe.op7_bpe_automaton,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
