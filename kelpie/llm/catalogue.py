@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality_rules, sharding, simhash
+from . import bpe, chat, packing, quality_rules, sharding, simhash, topk
 
 QUERIES = {
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe_automaton": bpe.op7_bpe_automaton,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_exact_top_k": topk.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
