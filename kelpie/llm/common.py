@@ -48,3 +48,18 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 def fold(key: str, parts: int):
     """crc32 of the key as text, modulo parts: the split into learning and held-out rows."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, the ones whose hashed key is smallest as a share; all rows if there are no more."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
+    """docs of the learning folds with their non-null label as ``label``; one label a document, the larger where they differ."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    known = known.filter(fold(id_col, parts) != out)
+    return docs.join(known, id_col)
