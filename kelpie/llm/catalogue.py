@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, gam, packing, quality_rules, sharding, simhash, topk
+from . import bpe, chat, gam, langid, packing, quality_rules, sharding, simhash, topk
 
 QUERIES = {
     "op1_quality_gam": gam.op1_quality_gam,
+    "op3_language_cnn": langid.op3_language_cnn,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
