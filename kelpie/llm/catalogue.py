@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, gam, langid, packing, quality_rules, sharding, simhash, topk
+from . import bpe, chat, gam, langid, packing, quality_rules, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality_gam": gam.op1_quality_gam,
+    "op2_toxicity_crf": toxicity.op2_toxicity_crf,
     "op3_language_cnn": langid.op3_language_cnn,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_packing": packing.op5_packing,
