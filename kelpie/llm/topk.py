@@ -28,8 +28,10 @@ from .common import table
 
 CANDIDATES = 8192
 QUERIES = 256
-#: Entries read of every list at a time, as a share of the block.
-RUN = 1 / 8
+#: How far the lists are read before bounds are compared, as shares of the block; queries that never settle are read to the end.
+DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4)
+#: A query's reading stops when no more rows than this, or a 64th of the block, may qualify.
+SETTLED = 64
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -49,44 +51,52 @@ class Lists:
         order = np.argsort(group.reshape(-1), kind="stable")  # of one vector, ids ascend
         cuts = np.concatenate(([0], np.cumsum(np.bincount(group.reshape(-1), minlength=len(self.v)))))
         self.ids = [ids[order[a : min(b, a + keep)]] for a, b in zip(cuts[:-1], cuts[1:])]
-        order = np.argsort(self.v, axis=0, kind="stable")  # a list per dimension, ascending: rows, and their values
-        self.values = np.take_along_axis(self.v, order, axis=0).T.astype(np.float64)
-        self.rows = order.T.copy()
+        n, dims = self.v.shape
+        order = np.argsort(self.v, axis=0, kind="stable")  # a list per dimension, ascending
+        self.values = np.take_along_axis(self.v, order, axis=0).astype(np.float64)
+        self.place = np.empty((n, dims), np.int32)  # of each row in each list
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
 
 
-def nra(lists: Lists, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block for one query, ties to smaller ids, the query's own row left out.
+def nra(lists: Lists, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """For each query the k best (score, id) of a block, ties to smaller ids, the query's own row left out.
 
-    Sums are of whole numbers and exact in doubles; a block whose products could pass 2^53 is read to the end.
+    All queries read to the same depth: dimension d from the back where q_d > 0, from the front where q_d < 0. What was
+    read of a row, above the lists' last entries, bounds it below; the entries the reading has come to bound the rest.
+    Sums are of whole numbers and exact in doubles; a block whose products could pass 2^52 is read to the end.
     """
     n, dims = lists.v.shape
-    up, down = np.flatnonzero(q < 0), np.flatnonzero(q >= 0)  # where contributions fall from the front, and from the back
-    sides = np.concatenate([up, down])
-    factor = q[sides].astype(np.float64)
-    ends = np.concatenate([lists.values[up, -1], lists.values[down, 0]]) * factor
-    gained = np.zeros(n)  # what was read of a row, above the last entries of those lists
-    unread = np.ones((n, dims), bool)
-    exact = float(np.abs(lists.values).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, dims) < 2.0**52
-    run, at = max(64, int(n * RUN)), 0
-    alive = np.arange(n)
-    while at < n and exact and len(alive) > 2 * (k + 1):
-        depth = min(n, at + run)
-        rows = np.concatenate([lists.rows[up, at:depth], lists.rows[down, n - depth : n - at]])
-        worth = np.concatenate([lists.values[up, at:depth], lists.values[down, n - depth : n - at]]) * factor[:, None] - ends[:, None]
-        gained += np.bincount(rows.reshape(-1), worth.reshape(-1), minlength=n)
-        unread[rows, sides[:, None]] = False
-        at = depth
-        reached = np.zeros(dims)
-        reached[sides] = np.concatenate([worth[: len(up), -1], worth[len(up) :, 0]])
-        low = gained[alive]
-        bar = np.partition(low, len(low) - (k + 1))[len(low) - (k + 1)]  # rows are distinct vectors; one id may be the query's own
-        if low.max() > 0 and bar < reached.sum() and at < n // 4:
-            continue  # rows that were not met may still qualify, so all may
-        alive = alive[low + unread[alive] @ reached >= bar]
-    scores = lists.v[alive].astype(np.int64) @ q.astype(np.int64)  # resolved
-    out = [(-int(s), int(i)) for s, r in zip(scores, alive) for i in lists.ids[r] if i != own]
-    out.sort()
-    return [(-s, i) for s, i in out[:k]]
+    low_end, high_end = lists.values[0], lists.values[-1]
+    exact = max(np.abs(low_end).max(initial=0), np.abs(high_end).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, dims) < 2.0**52
+    rows_of: list[np.ndarray] = [np.arange(n)] * len(queries)
+    open_ = np.arange(len(queries))
+    for share in DEPTHS if exact and n > 4 * (k + 1) else ():
+        depth = max(1, int(n * share))
+        up = np.maximum(queries[open_], 0).T.astype(np.float64)
+        down = np.minimum(queries[open_], 0).T.astype(np.float64)
+        from_back, from_front = lists.place >= n - depth, lists.place < depth
+        low = np.where(from_back, lists.v - low_end, 0.0) @ up + np.where(from_front, lists.v - high_end, 0.0) @ down
+        spare = (~from_back).astype(np.float64) @ (up * (lists.values[n - depth] - low_end)[:, None])
+        spare += (~from_front).astype(np.float64) @ (down * (lists.values[depth - 1] - high_end)[:, None])
+        # rows are distinct vectors, and one of their ids may be the query's own: k + 1 rows must be safe
+        bar = np.partition(low, n - (k + 1), axis=0)[n - (k + 1)]
+        may = low + spare >= bar
+        left = may.sum(axis=0)
+        done = left <= max(SETTLED, n // 64)
+        for j in np.flatnonzero(done):
+            rows_of[open_[j]] = np.flatnonzero(may[:, j])
+        open_ = open_[~done]
+        if not len(open_):
+            break
+    out = []
+    for q, mine, rows in zip(queries, own, rows_of):
+        scores = lists.v[rows] @ q  # resolved
+        if len(rows) > k + 1:
+            top = np.partition(scores, len(rows) - (k + 1))[len(rows) - (k + 1)]
+            rows, scores = rows[scores >= top], scores[scores >= top]
+        best = sorted((-int(s), int(i)) for s, r in zip(scores, rows) for i in lists.ids[r] if i != mine)
+        out.append([(-s, i) for s, i in best[:k]])
+    return out
 
 
 def _block_pair(k: int):
@@ -94,11 +104,13 @@ def _block_pair(k: int):
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             width = right["v"].map(len).mode().iloc[0]
-            right = right[right["v"].map(len) == width]
-            lists = Lists(right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_list()).astype(np.int64), k + 1)
-            for own, q in zip(left["vec_id"].to_numpy(np.int64), left["v"]):
-                if len(q) == width:
-                    out += [(own, i, s) for s, i in nra(lists, np.asarray(q, np.int64), int(own), k)]
+            right, left = right[right["v"].map(len) == width], left[left["v"].map(len) == width]
+            lists = Lists(right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_list()).astype(np.int64).reshape(len(right), width), k + 1)
+            for at in range(0, len(left) if width else 0, QUERIES):
+                some = left.iloc[at : at + QUERIES]
+                own = some["vec_id"].to_numpy(np.int64)
+                found = nra(lists, np.stack(some["v"].to_list()).astype(np.int64), own, k)
+                out += [(int(q), i, s) for q, best in zip(own, found) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
