@@ -1,4 +1,6 @@
-"""Registered queries and their DuckDB oracles."""
+"""Every registered query of the engine; importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import eval_queries, facts_queries, retrieval_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
