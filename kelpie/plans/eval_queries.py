@@ -126,7 +126,7 @@ SELECT lang, tp, round(tp::DOUBLE / nullif(predicted, 0) * 1000000)::BIGINT AS p
 )
 def micro_f1(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
-    sums = rows.groupBy("lang").agg(F.count_if("quality = 1 AND toxic = 0" if False else (F.col("quality") == 1) & (F.col("toxic") == 0)).alias("tp"), F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("e"))
+    sums = rows.groupBy("lang").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("tp"), F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("e"))
     m = stats.micro_f1(F.col("tp"), F.col("p"), F.col("e"))
     return sums.select("lang", "tp", *[F.round(v * 1_000_000).cast("long").alias(f"{k}_ppm") for k, v in m.items()])
 
@@ -199,11 +199,11 @@ def gate(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT user_id, avg(value) > 8 AS passed, bool_or(event_type = 'purchase') AS truth FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, avg(value) > 8 AS passed FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+    """WITH mid AS (SELECT 50 AS m), a AS (SELECT user_id, avg(value) > m AS passed, bool_or(event_type = 'purchase') AS truth FROM events, mid WHERE event_id % 2 = 0 GROUP BY user_id, m), b AS (SELECT user_id, avg(value) > m AS passed FROM events, mid WHERE event_id % 2 = 1 GROUP BY user_id, m)
 SELECT user_id, a.passed AS was, b.passed AS now, CASE WHEN b.passed = truth THEN 'FIXED' ELSE 'REGRESSION' END AS kind FROM a JOIN b USING (user_id) WHERE a.passed <> b.passed"""
 )
 def verdict_flips(spark, sf):
-    side = lambda k: _events(spark, sf).filter(F.col("event_id") % 2 == k).groupBy("user_id").agg((F.avg("value") > 8).alias("passed"), F.max(F.col("event_type") == "purchase").alias("truth"))
+    side = lambda k: _events(spark, sf).filter(F.col("event_id") % 2 == k).groupBy("user_id").agg((F.avg("value") > 50).alias("passed"), F.max(F.col("event_type") == "purchase").alias("truth"))
     return op.flips(side(0), side(1), "user_id", "truth").select("user_id", "was", "now", "kind")
 
 
@@ -213,25 +213,26 @@ def dedup_last_wins(spark, sf):
 
 
 @query(
-    """WITH o AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'NEW' END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+    """WITH o AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal >= 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'NEW' END AS c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE o.c_name END AS c_name, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM o FULL JOIN n USING (c_custkey)"""
 )
 def upsert_merge(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    new = c.filter("c_custkey % 2 = 0").withColumns({"c_name": F.upper("c_name"), "c_mktsegment": F.when(F.col("c_custkey") % 5 != 0, "NEW")})
-    return sinks.upsert(c.filter("c_custkey % 3 <> 0"), new, ["c_custkey"], keep_old=("c_mktsegment",))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    new = c.filter("c_mktsegment <> 'BUILDING'").drop("c_acctbal").withColumns({"c_name": F.upper("c_name"), "c_mktsegment": F.when(F.col("c_custkey") % 5 != 0, "NEW")})
+    return sinks.upsert(c.filter("c_acctbal >= 0").drop("c_acctbal"), new, ["c_custkey"], keep_old=("c_mktsegment",))
 
 
-@query("SELECT o_custkey, o_orderkey, 'old' AS src FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 1")
+@query("SELECT o_custkey, o_orderkey, 'old' AS src FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 'new' FROM orders WHERE o_orderstatus <> 'F'")
 def insert_missing(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    return sinks.insert_missing(o.filter("o_orderkey % 2 = 0").withColumn("src", F.lit("old")), o.withColumn("src", F.lit("new")), ["o_orderkey"])
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    held, o = o.filter("o_orderstatus = 'F'").drop("o_orderstatus"), o.drop("o_orderstatus")
+    return sinks.insert_missing(held.withColumn("src", F.lit("old")), o.withColumn("src", F.lit("new")), ["o_orderkey"])
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 4 <> 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 4 = 0 AND o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 4 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 4 = 0 AND o_orderstatus = 'F')")
+@query("WITH t AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT o_custkey, o_orderkey FROM t UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM t)")
 def replace_groups(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return sinks.replace_groups(o.drop("o_orderstatus"), o.filter("o_custkey % 4 = 0 AND o_orderstatus = 'F'").drop("o_orderstatus"), "o_custkey")
+    return sinks.replace_groups(o.drop("o_orderstatus"), o.filter("o_orderstatus = 'P'").drop("o_orderstatus"), "o_custkey")
 
 
 @query("SELECT coalesce(max(o_orderkey), 0) AS high_water, count(*) FILTER (WHERE o_orderkey > 5000) AS fresh FROM orders")

@@ -131,12 +131,12 @@ def context_pack_skip(spark, sf):
     return op.pack_skipping(blocks.select("query_id", "rank", "chars"), 20_000)
 
 
-_REL = """rel AS (SELECT q.item_id AS query_id, e.vec_id AS id, 1.0::DOUBLE AS gain FROM benchmark q JOIN embeddings v ON q.item_id = v.vec_id JOIN embeddings e ON e.label = v.label AND q.item_id % 3 <> 0)"""
+_REL = """rel AS (SELECT q.item_id AS query_id, e.vec_id AS id, 1.0::DOUBLE AS gain FROM benchmark q JOIN embeddings v ON q.item_id = v.vec_id JOIN embeddings e ON e.label = v.label AND v.label <> 0)"""
 
 
 def _relevant(spark, sf):
     e = table(spark, sf, "embeddings")
-    asked = e.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("query_id"), "label")
+    asked = e.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").filter("label <> 0").select(F.col("vec_id").alias("query_id"), "label")
     return e.select(F.col("vec_id").alias("id"), "label").join(asked, "label").select("query_id", "id", F.lit(1.0).alias("gain"))
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def refresh(spark: SparkSession, folder: str, schema, checkpoint: str, stage: Callable[[DataFrame, int], None], fmt: str = "parquet"):
@@ -37,7 +38,7 @@ def rate_limited(requests: DataFrame, client: str, at: str, limit: int, seconds:
                 held.append(t)
         return rows.assign(allowed=allowed)[[*columns, "allowed"]]
 
-    out = requests.schema.add("allowed", "boolean")
+    out = StructType([*requests.schema.fields, StructField("allowed", BooleanType())])
     return requests.groupBy(client).applyInPandas(run, out)
 
 
