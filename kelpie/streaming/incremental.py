@@ -58,7 +58,7 @@ def newest_window(requests: DataFrame, path: str, ms: str, status: str, newest:
 
 def event_counts(events: DataFrame, ts: str, kind: str, value: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Extension: counts and sums per kind and tumbling window, with a watermark when it streams."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     return rows.groupBy(F.window(ts, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
