@@ -63,3 +63,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     known = known.filter(fold(id_col, parts) != out)
     return docs.join(known, id_col)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
+    """As learning_rows, but of a sample of at most about ``rows`` labels that is drawn first.
+
+    The sample's ids are few by construction and travel to the documents, so no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, parts) != out))
+    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    return docs.join(F.broadcast(bounded_sample(known, id_col, rows).limit(2 * rows)), id_col)

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from .common import bounded_sample, fold, learning_rows, table, written
+from .common import bounded_sample, fold, labelled_sample, learning_rows, table, written
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 6
@@ -76,16 +77,17 @@ def features(text: bytes | None) -> np.ndarray:
 features.classes = _class_table()
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and x, the features, of every document."""
+def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``also``, and x, the features, of every document."""
 
     def run(batches):
         for batch in batches:
             x = [features(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
+            rest = [batch.column(c) for c in also]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(x, pa.list_(pa.float32()))], ["doc_id", *also, "x"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, x array<float>")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    return slim.mapInArrow(run, StructType([StructField("doc_id", LongType()), *[docs.schema[c] for c in also], StructField("x", ArrayType(FloatType()))]))
 
 
 def _leaf(g, h):
@@ -214,7 +216,12 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(x: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, out: int = 0) -> Model:
     """Model of the features x (doc_id, x) learned from at most about TRAIN_ROWS labelled rows of the learning folds."""
-    rows = bounded_sample(learning_rows(x, labels, label, "doc_id", parts, out), "doc_id", TRAIN_ROWS).orderBy("doc_id").toArrow()
+    return learned(bounded_sample(learning_rows(x, labels, label, "doc_id", parts, out), "doc_id", TRAIN_ROWS))
+
+
+def learned(sample: DataFrame) -> Model:
+    """Model of a bounded sample (doc_id, x, label)."""
+    rows = sample.orderBy("doc_id").toArrow()
     xs = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)))
     return train(xs.astype(np.float64), (rows.column("label").to_numpy() > 0).astype(float) if rows.num_rows else np.zeros(0))
 
@@ -239,7 +246,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that score at least the threshold. Texts are scored where they are, without a join."""
-    model = fit(featured(learning_rows(docs, labels, "quality").select("doc_id", "text")), labels)
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", TRAIN_ROWS)
+    model = learned(featured(sample, also=("label",)))
     columns = docs.columns
 
     def run(batches):
