@@ -156,8 +156,7 @@ def judge(docs: DataFrame, order: list[Rule], text_col: str = "text") -> DataFra
 def keep(docs: DataFrame, order: list[Rule], text_col: str = "text") -> DataFrame:
     """The documents that pass; a measure is worked out only for rows that its rule sees."""
     text = F.col(text_col)
-    passed = docs.filter(verdict(order, lambda name: MEASURES[name](text, words(text))).isNull())
-    return passed
+    return docs.filter(let(words(text), lambda ws: verdict(order, lambda name: MEASURES[name](text, ws))).isNull())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
