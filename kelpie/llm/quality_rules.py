@@ -118,7 +118,7 @@ RULES = (
     *BASE,
     Rule("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 14 * m("n_words"))),
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule("repeated_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
+    Rule("repeated_lines", lambda m: (m("n_dup_lines") >= 3) & (10 * m("n_dup_lines") > 3 * m("n_lines"))),
 )
 
 
@@ -185,6 +185,6 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-    OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+    OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)) AS kept
 FROM m
 """
