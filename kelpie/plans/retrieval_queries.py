@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kelpie.operators import probes
 from kelpie.operators import retrieval as op
 
 from .registry import query, table
@@ -184,3 +185,28 @@ def evidence_labels(spark, sf):
     ids = table(spark, sf, "labels").select("doc_id").distinct()
     held = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.lit(1).alias("held")).distinct()
     return ids.join(held, "doc_id", "left").agg(F.count(F.lit(1)).alias("labelled"), F.count("held").alias("found"))
+
+
+def _sweep_part(name: str, mode: str, n: int) -> str:
+    source = {"dense": "dense", "lexical": "lex", "hybrid": "fused"}[mode]
+    return f"""SELECT '{name}' AS config, '{mode}' AS mode, {n} AS top_n, count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / f, 0)) * 1000000)::BIGINT AS mrr_ppm, round(avg((coalesce(f, 99) <= 5)::INT) * 1000000)::BIGINT AS hit_5_ppm
+FROM (SELECT a.query_id, min(rank) AS f FROM (SELECT DISTINCT query_id FROM rel) a LEFT JOIN (SELECT s.query_id, s.rank FROM {source} s JOIN rel USING (query_id, id) WHERE s.rank <= {n}) h ON a.query_id = h.query_id GROUP BY 1)"""
+
+
+_CONFIGS = [("shipped", "hybrid", 8), ("ceiling", "hybrid", 50), ("dense-only", "dense", 50), ("lexical-only", "lexical", 50)]
+
+
+@query("WITH " + _DENSE + ", " + _LEX + ", " + _FUSED + ", " + _REL + " " + " UNION ALL ".join(_sweep_part(*c) for c in _CONFIGS))
+def retrieval_sweep(spark, sf):
+    dense, lexical = _lists(spark, sf)
+    out = probes.sweep(dense, lexical, _relevant(spark, sf), _texts(spark, sf), _CONFIGS, (5,))
+    return out.select("config", "mode", "top_n", "n_cases", F.round(F.col("rr") * 1_000_000).cast("long").alias("mrr_ppm"), F.round(F.col("`hit@5`") * 1_000_000).cast("long").alias("hit_5_ppm"))
+
+
+@query(
+    r"""SELECT doc_id, (regexp_matches(text, '(?i)token')::INT + regexp_matches(text, '(?i)\bare\b')::INT + regexp_matches(text, '(?i)de la')::INT) AS n_facts,
+  CASE WHEN n_facts >= 2 THEN 'primary' WHEN n_facts = 1 THEN 'supporting' ELSE 'weak' END AS support FROM documents"""
+)
+def probe_links(spark, sf):
+    found = probes.classified(table(spark, sf, "documents"), probes.parse_spec(r"token; are=\bare\b; de la"), "text")
+    return found.select("doc_id", "n_facts", "support")

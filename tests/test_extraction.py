@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kelpie.operators import extraction as ex
-from kelpie.operators import golden, providers
+from kelpie.operators import golden, probes, providers
 
 FACT = "struct<concept:string,fiscal_year:int,value:double>"
 
@@ -64,3 +64,13 @@ def test_golden_cases(spark):
     pairs = spark.createDataFrame([(1, "It was 1,000. Second. Third.", "c")], "pair_id int, reference string, candidate string")
     made = {r["control"]: r["answer"] for r in golden.controls(pairs).collect()}
     assert made["contradiction"].startswith("It was 3,000.") and made["omission"] == "It was 1,000. Second."
+
+
+def test_probes_come_from_the_reference(spark):
+    found = probes.derive("The European Commission fined it €500 million under Article 5(4); the US Department Of Justice (DOJ) sued.")
+    assert set(found) == {"€500 million", "Article 5(4)", "Department Of Justice", "DOJ"} or "European Commission" not in found
+    df = spark.createDataFrame([("a €500 million fine, DOJ",), ("doj",), ("none",), (None,)], "body string")
+    assert [r["support"] for r in probes.classified(df, {"m": found["€500 million"], "d": r"\bDOJ\b"}).collect()] == ["primary", "supporting", "weak", "weak"]
+    row = probes.probed(df, {"d": r"\bDOJ\b"}).first()["facts"][0]
+    assert row["present"] and "DOJ" in row["excerpt"]
+    assert probes.parse_spec("a=x+; b.c ;") == {"a": "x+", "b.c": r"b\.c"}
