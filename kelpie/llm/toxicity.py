@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, learning_rows, table
+from .common import fold, labelled_sample, table
 
 TRAIN_ROWS = 6_000
 PREFIXES = (4, 5, 6)
@@ -59,12 +59,17 @@ class Field:
 
 
 def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """P(toxic) of every token: e are the tokens' emissions, chain after chain of the given lengths.
+    """P(toxic) of every token: e are the tokens' emissions, chain after chain of the given lengths."""
+    return messages(e, lengths, move)[0]
+
+
+def messages(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(toxic), forward and backward message of every token.
 
     Forward and backward messages are ratios of the two states, carried on through all chains at once, longest first.
     """
     if not len(e):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0), np.zeros(0)
     x = np.exp(np.clip(e, -30, 30))
     a = np.exp(move)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -89,27 +94,36 @@ def marginals(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarra
         b = (a[1, 0] + s * a[1, 1]) / (a[0, 0] + s * a[0, 1])
         back[at] = b
     odds = fore * back
-    return odds / (1 + odds)
+    return odds / (1 + odds), fore, back
 
 
-def evidence(tokens: list[list[str]], toxic: np.ndarray) -> set[str]:
+def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> set[str]:
     """Keys that mark toxic documents, by the likelihood ratio test of their rates in the two kinds, and the ratio.
 
-    Occurrences between the same two neighbours count once, so copies of a document are no evidence of their own.
+    docs: numbers of words. Occurrences between the same two neighbours count once, so copies of a document are no
+    evidence of their own.
     """
-    met: tuple[set, set] = (set(), set())
-    for ws, bad in zip(tokens, toxic):
-        met[int(bad)].update(zip(ws, ["", *ws], [*ws[1:], ""]))
-    counts = []
-    for places in met:
-        words = Counter(w for w, _, _ in places)
+    counts, totals = [], []
+    for kind in (False, True):
+        mine = [d for d, bad in zip(docs, toxic) if bool(bad) == kind and len(d)]
+        if not mine:
+            counts.append(Counter())
+            totals.append(1)
+            continue
+        one = np.concatenate(mine).astype(np.uint64)
+        before = np.concatenate([np.concatenate(([len(words)], d[:-1])) for d in mine]).astype(np.uint64)
+        after = np.concatenate([np.concatenate((d[1:], [len(words)])) for d in mine]).astype(np.uint64)
+        place = (one * np.uint64(0x9E3779B97F4A7C15) + before) * np.uint64(0xC2B2AE3D27D4EB4F) + after
+        place = (place ^ (place >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+        _, first = np.unique(place, return_index=True)
         keys: Counter = Counter()
-        for w, n in words.items():
-            for k in keys_of(w):
-                keys[k] += n
+        for w, n in enumerate(np.bincount(one[first].astype(np.int64), minlength=len(words)).tolist()):
+            if n:
+                for k in keys_of(words[w]):
+                    keys[k] += n
         counts.append(keys)
-    other, one = counts
-    n0, n1 = len(met[0]) + 1, len(met[1])
+        totals.append(len(first) + 1)
+    (other, one), (n0, n1) = counts, totals
     out = set()
     for key, k1 in one.items():
         k0 = other.get(key, 0)
@@ -122,28 +136,24 @@ def evidence(tokens: list[list[str]], toxic: np.ndarray) -> set[str]:
     return out
 
 
-def _segments(tokens: list[list[str]], toxic: np.ndarray, bad: set[str], rng) -> list[tuple[list[str], list[int]]]:
-    """Training chains: the surroundings of toxic tokens, and as much from the other documents."""
-    out = []
-    known: dict[str, bool] = {}
-    for ws, is_toxic in zip(tokens, toxic):
+def _segments(docs: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray, rng) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Training chains and their labels: the surroundings of marked tokens of toxic documents, and pieces of the others."""
+    chains, labels = [], []
+    for d, is_toxic in zip(docs, toxic):
         if is_toxic:
-            y = [known[w] if w in known else known.setdefault(w, any(k in bad for k in keys_of(w))) for w in ws]
-            hits = [i for i, v in enumerate(y) if v]
-            if not hits:
-                continue
-            a, b = max(0, hits[0] - AROUND), hits[0] + AROUND + 1
-            for i in hits[1:]:
-                if i - AROUND > b:
-                    out.append((ws[a:b], [int(v) for v in y[a:b]]))
-                    a = i - AROUND
-                b = i + AROUND + 1
-            out.append((ws[a:b], [int(v) for v in y[a:b]]))
+            y = marked[d]
+            hits = np.flatnonzero(y)
+            for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * AROUND) + 1) if len(hits) else []:
+                a, b = max(0, int(group[0]) - AROUND), int(group[-1]) + AROUND + 1
+                chains.append(d[a:b])
+                labels.append(y[a:b].astype(float))
         else:
             for _ in range(2):
-                a = int(rng.integers(0, max(1, len(ws) - 2 * AROUND)))
-                out.append((ws[a : a + 4 * AROUND], [0] * len(ws[a : a + 4 * AROUND])))
-    return [s for s in out if s[0]]
+                a = int(rng.integers(0, max(1, len(d) - 2 * AROUND)))
+                chains.append(d[a : a + 4 * AROUND])
+                labels.append(np.zeros(len(chains[-1])))
+    some = [i for i, c in enumerate(chains) if len(c)]
+    return [chains[i] for i in some], [labels[i] for i in some]
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Field:
@@ -152,63 +162,57 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Field:
     field = Field(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
     if not toxic.any():
         return field
-    tokens = [TOKEN.findall(t.lower()) for t in texts]
-    bad = evidence(tokens, toxic)
-    chains = _segments(tokens, toxic, bad, rng)
-    words = sorted({w for ws, _ in chains for w in ws})
-    index = {w: i for i, w in enumerate(words)}
-    slots = [slots_of(w) for w in words]
+    number: dict[str, int] = {}
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())), np.int32) for t in texts]
+    words = list(number)
+    bad = evidence(docs, toxic, words)
+    marked = np.array([any(k in bad for k in keys_of(w)) for w in words], bool)
+    chains, labels = _segments(docs, toxic, marked, rng)
+    if not chains:
+        return field
+    ids, y = np.concatenate(chains), np.concatenate(labels)
+    met, ids = np.unique(ids, return_inverse=True)
+    slots = [slots_of(words[w]) for w in met]
     flat = np.array([s for ss in slots for s in ss], np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(ss) for ss in slots])
-    ids = np.array([index[w] for ws, _ in chains for w in ws])
-    y = np.array([v for _, ys in chains for v in ys], float)
-    lengths = np.array([len(ws) for ws, _ in chains])
-    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(met)), [len(ss) for ss in slots])
+    lengths = np.array([len(c) for c in chains])
     inner = np.ones(len(y), bool)
-    inner[np.concatenate(([0], ends[:-1]))] = False  # tokens with one before
+    inner[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = False  # tokens with one before
     inner = np.flatnonzero(inner)
     weights, bias, move = np.zeros(SLOTS), -2.0, np.zeros((2, 2))
     seen_w, seen_b, seen_m = np.full(SLOTS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     n = len(y)
+    was, now = y[inner - 1], y[inner]
+    real = np.array([[((1 - was) * (1 - now)).sum(), ((1 - was) * now).sum()], [(was * (1 - now)).sum(), (was * now).sum()]])
     for _ in range(PASSES):
-        e = (np.bincount(owner, weights[flat], len(words)) + bias)[ids]
-        p = marginals(e, lengths, move)
-        # pair marginals of neighbours, from the messages that the marginals imply
-        g = np.bincount(flat, np.bincount(ids, y - p, len(words))[owner], SLOTS) - 1e-3 * weights
+        e = (np.bincount(owner, weights[flat], len(met)) + bias)[ids]
+        p, fore, back = messages(e, lengths, move)
+        g = np.bincount(flat, np.bincount(ids, y - p, len(met))[owner], SLOTS) - 1e-3 * weights
         seen_w += g * g
         weights += RATE * g / np.sqrt(seen_w)
         gb = float((y - p).sum()) / n
         seen_b += gb * gb
         bias += RATE * gb / seen_b**0.5
-        pair = _pairs(e, lengths, move, inner)
-        real = np.array([[((1 - y[inner - 1]) * (1 - y[inner])).sum(), ((1 - y[inner - 1]) * y[inner]).sum()], [(y[inner - 1] * (1 - y[inner])).sum(), (y[inner - 1] * y[inner]).sum()]])
-        gm = (real - pair) / n - 1e-3 * move
+        gm = (real - _pairs(e, fore, back, move, inner)) / n - 1e-3 * move
         seen_m += gm * gm
         move += 0.1 * gm / np.sqrt(seen_m)
     field = Field(weights.astype(np.float32), bias, move, (0.0, 1.0, 0.0))
     # documents: logistic on the largest marginal's log-odds and on the sum of marginals
-    x = np.array([summary(p) for p in field_marginals(field, tokens)])
-    field.link = _logistic(x, toxic.astype(float))
+    emissions = np.array([field.emission(w) for w in words])
+    x = []
+    for a in range(0, len(docs), 500):
+        some = docs[a : a + 500]
+        size = np.array([len(d) for d in some])
+        p = marginals(emissions[np.concatenate(some)], size, move) if size.sum() else np.zeros(0)
+        x += [summary(q) for q in np.split(p, np.cumsum(size)[:-1])]
+    field.link = _logistic(np.array(x), toxic.astype(float))
     return field
 
 
-def _pairs(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, inner: np.ndarray) -> np.ndarray:
+def _pairs(e: np.ndarray, fore: np.ndarray, back: np.ndarray, move: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Expected counts of the four moves between neighbours, summed over all chains."""
-    p = marginals(e, lengths, move)
-    x, a = np.exp(np.clip(e, -30, 30)), np.exp(move)
-    # forward ratio of the token before, backward ratio of the token: recovered from marginals by one pass each
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    fore = np.empty(len(e))
-    longest = int(lengths.max())
-    order = np.argsort(-lengths, kind="stable")
-    first, left = starts[order], lengths[order]
-    fore[first] = x[first]
-    for t in range(1, longest):
-        rows = first[: int(np.searchsorted(-left, -(t + 1), side="right"))] + t
-        r = fore[rows - 1]
-        fore[rows] = x[rows] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0])
-    back = np.clip(p, 1e-12, 1 - 1e-12) / (1 - np.clip(p, 1e-12, 1 - 1e-12)) / fore
-    f, s = fore[inner - 1], x[inner] * back[inner]
+    a = np.exp(move)
+    f, s = fore[inner - 1], np.exp(np.clip(e[inner], -30, 30)) * back[inner]
     cells = np.stack([a[0, 0] * np.ones_like(f), a[0, 1] * s, f * a[1, 0], f * a[1, 1] * s])
     return (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
@@ -266,12 +270,11 @@ def field_marginals(field: Field, tokens: list[list[str]], known: Emissions | No
 
 
 def spans(text: str, p: np.ndarray) -> list[tuple[int, int]]:
-    """Offsets (start, past) in code points of the runs of tokens that are more likely toxic than not."""
+    """Offsets (start, past) in code points of the lower-cased text of the runs of tokens that are more likely toxic than not."""
     out: list[tuple[int, int]] = []
     was = False
     lower = text.lower()
-    source = text if len(lower) == len(text) else lower
-    for m, bad in zip(TOKEN.finditer(source if source is lower else lower), p >= 0.5):
+    for m, bad in zip(TOKEN.finditer(lower), p >= 0.5):
         if bad and was:
             out[-1] = (out[-1][0], m.end())
         elif bad:
@@ -282,7 +285,7 @@ def spans(text: str, p: np.ndarray) -> list[tuple[int, int]]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out: int = 0) -> Field:
     """A field learned from at most about TRAIN_ROWS labelled documents of the learning folds."""
-    rows = bounded_sample(learning_rows(docs.select("doc_id", "text"), labels, label, "doc_id", parts, out), "doc_id", TRAIN_ROWS).orderBy("doc_id", "text").toArrow()
+    rows = labelled_sample(docs.select("doc_id", "text"), labels, label, TRAIN_ROWS, "doc_id", parts, out).orderBy("doc_id", "text").toArrow()
     return train([t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("label").to_pylist(), int) > 0)
 
 
