@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters that separate words, as a Java and RE2 character class and as plain text.
+#: A word, for Java and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
