@@ -32,7 +32,7 @@ TRAIN_ROWS = 6_000
 PREFIXES = (4, 5, 6)
 SLOTS = 1 << 18
 #: A word or prefix is toxic evidence above this likelihood ratio statistic and rate ratio.
-EVIDENCE, RATIO = 25.0, 8.0
+EVIDENCE, RATIO = 40.0, 8.0
 AROUND, PASSES, RATE = 6, 20, 0.3
 #: Tokens whose chains are worked out together, and words whose emissions a worker remembers.
 TOKENS, REMEMBERED = 400_000, 400_000
