@@ -61,17 +61,17 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(grid)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and the string columns ``also``."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    return slim.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in also)]))
 
 
 def key_tables(distinct: int) -> list[list[tuple[int, int]]]:
@@ -260,14 +260,19 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def rooted(firsts: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints (column fp) with root, the fingerprint that names their group."""
+    roots = components(links(firsts.select("fp"), firsts.count()))
+    linked = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left")
+    return linked.withColumn("root", F.coalesce("root", "fp"))
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every document."""
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(firsts.select("fp"), firsts.count()))
     # only groups of two or more fingerprints need a second look for their least document
-    linked = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left")
-    linked = linked.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = rooted(firsts)
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(linked.join(lowest, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -279,9 +284,15 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one of the smallest id, one row of it."""
-    grouped = group(docs, id_col, text_col)
-    stay = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    joined = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    stay = stay.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"))
-    return joined.join(stay, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One row of each group, whatever ids its rows have: of the smallest id, or of none where no row has one.
+
+    Rows are told apart by id and text, so null ids and ids met in several groups stay once in each of these.
+    """
+    keys = {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_digest": F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
+    keyed = docs.withColumns(keys)
+    marked = fingerprints(keyed, id_col, text_col, tuple(keys))
+    least = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "_digest", "_id")).alias("first")
+    firsts = written(marked.groupBy("fp").agg(least), "distinct")
+    stay = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._digest")
+    # copies of a row go before rows are dealt by key; an inner join, as a semi-join would be pushed below that
+    return keyed.dropDuplicates([*keys]).join(stay, [*keys]).select(*docs.columns)

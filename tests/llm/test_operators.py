@@ -173,6 +173,23 @@ def test_simhash_groups(spark, texts):
     assert {i: r["component_id"] for i, r in out.items()} == brute_groups(ids, fps)
 
 
+def test_each_group_keeps_one_row(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, c, d, e, f = (" ".join(word() for _ in range(40)) for _ in range(6))
+    rows = [(None, a), (None, a.upper()), (None, b), (None, c), (3, c), (7, d), (7, e), (9, e), (7, d), (8, f), (2, f), (None, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")).collect()
+    fps = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    root = brute_groups(range(len(rows)), fps)
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        groups[root[k]].append(i)
+    assert len(groups) == 7
+    place = {fp: root[k] for k, fp in enumerate(fps)}
+    kept = [(place[simhash.fingerprint((r["text"] or "").encode())], r["doc_id"]) for r in got]
+    assert sorted(kept) == sorted((g, min((i for i in ids if i is not None), default=None)) for g, ids in groups.items())
+
+
 def test_hot_keys_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     rng = np.random.default_rng(3)
