@@ -11,14 +11,16 @@ task holds more than two blocks; every query row meets every candidate row once.
 merged per query. Equal vectors of a block are read once: of one vector's copies only the k + 1 smallest ids can matter
 (one may be the query itself).
 
-Defined results: vectors that are null, or hold a null or a value that is not finite, take no part, nor do rows of
-another length than the commonest of their block; ties go to the smaller id;
+Defined results: vectors that are null, or hold a null or a value that is not finite, take no part; a
+query meets the candidates of its own length, and those of length zero have a null score; ties go to the smaller id;
 a query never meets its own row; repeated ids are one row each; fewer candidates than k give fewer ranks; an empty table
 gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,17 +103,21 @@ def nra(lists: Lists, queries: np.ndarray, own: np.ndarray, k: int) -> list[list
 
 def _block_pair(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            width = right["v"].map(len).mode().iloc[0]
-            right, left = right[right["v"].map(len) == width], left[left["v"].map(len) == width]
-            lists = Lists(right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_list()).astype(np.int64).reshape(len(right), width), k + 1)
-            for at in range(0, len(left) if width else 0, QUERIES):
-                some = left.iloc[at : at + QUERIES]
+        out: list[tuple[int, int, int | None]] = []
+        lengths, wanted = right["v"].map(len), left["v"].map(len)
+        for width in sorted({*lengths} & {*wanted}):
+            rows, asked = right[lengths == width], left[wanted == width]
+            if not width:  # nothing to sum: no score, and ids decide
+                ids = sorted(rows["vec_id"].tolist())
+                out += [(q, i, None) for q in asked["vec_id"].tolist() for i in islice((i for i in ids if i != q), k)]
+                continue
+            lists = Lists(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.int64), k + 1)
+            for at in range(0, len(asked), QUERIES):
+                some = asked.iloc[at : at + QUERIES]
                 own = some["vec_id"].to_numpy(np.int64)
                 found = nra(lists, np.stack(some["v"].to_list()).astype(np.int64), own, k)
                 out += [(int(q), i, s) for q, best in zip(own, found) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "Int64"})
 
     return run
 

@@ -312,6 +312,18 @@ def test_vectors_that_take_no_part(spark):
     assert [(r["vec_id"], r["score"]) for r in out] == [(5, 256 * 256 * 3), (6, 256 * 256 * 3)]
 
 
+def test_every_length_has_its_ranks(spark):
+    rng = np.random.default_rng(6)
+    vs = {i: [int(x) for x in rng.integers(-4, 5, (2, 2, 3, 0)[i % 4])] for i in range(80)}
+    v = spark.createDataFrame([(i, x) for i, x in vs.items()], "vec_id long, v array<long>")
+    got = [tuple(r) for r in topk.top_k(v.filter("vec_id % 5 = 0"), v, 5).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 80, 5):
+        best = sorted((-sum(a * b for a, b in zip(vs[q], x)), i) for i, x in vs.items() if i != q and len(x) == len(vs[q]))[:5]
+        want += [(q, n + 1, i, -s if vs[q] else None) for n, (s, i) in enumerate(best)]
+    assert got == want
+
+
 # ---- 1, 2, 3 learned models
 
 
