@@ -106,6 +106,15 @@ def test_html():
     assert html.to_text(page) == "One\nNet sales | 383,285\ntwo\nthree"
 
 
+def test_parse_health(spark):
+    heads = ["Item 1. Business", "Item 1A. Risk Factors", "Item 7. Management's Discussion", "Item 8. Financial Statements"]
+    whole = "\n".join(h + "\n" + "words 1,234 " * 500 for h in heads)
+    contents = "\n".join(heads) + "\n" + "words " * 5000
+    rows = spark.createDataFrame([(1, whole), (2, contents), (3, "nothing"), (4, None)], "filing int, body string")
+    got = {r["filing"]: (r["spread"], r["survived"], r["ordered"], r["long_enough"], r["has_items"]) for r in html.health(rows, ["filing"]).collect()}
+    assert got == {1: (True, True, True, True, True), 2: (False, True, True, True, True), 3: (False, True, True, False, False), 4: (False, True, True, False, False)}
+
+
 def test_sections_prefer_the_body_over_the_contents():
     toc = "Item 1. Business\nItem 1A. Risk Factors\n"
     body = "Item 1. Business\n" + "we sell things " * 30 + "\nItem 1A. Risk Factors\n" + "risks " * 50
