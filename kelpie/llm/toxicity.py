@@ -4,7 +4,9 @@ Tokens are runs of letters, digits and marks; each is one of two states, toxic o
 its prefixes, transitions from the state before. Token labels for training come from labelled documents: a token of a
 toxic document is labelled toxic if its word or one of its prefixes is found in toxic documents far more often than
 chance allows, and never or hardly elsewhere; all tokens of other documents are labelled not toxic. The field is trained on
-their likelihood with forward-backward marginals. For every document the marginals of all its tokens are worked out
+the likelihood of pieces of these, with forward-backward marginals: of toxic documents the marked tokens with AROUND
+tokens on either side (none where no token is marked), of others two random windows of 4 * AROUND tokens; the rest of
+their tokens takes part in the evidence and the logistic only. For every document the marginals of all its tokens are worked out
 exactly; their largest and their sum give the score through a logistic fitted on documents, and runs of tokens with
 marginals of a half or more are the offending spans.
 
