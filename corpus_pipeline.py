@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the classifier and the packing; tests hold the stages against brute force.
+#: SQL can't express the classifier and the packing; tests hold near duplicates against brute force, and take every stage over odd and empty tables.
 ORACLE_SQL = None
 
 

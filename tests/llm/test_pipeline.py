@@ -36,3 +36,52 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, rank int"
+GOOD = "the people of the town went to the market in the morning and bought bread milk and apples for all of their children then walked home again"
+TEXTS = [None, "", " \n\t", "a", "é ß 🙂", GOOD, GOOD, "Same Same " * 4, "w" * 50_000, "long text here " * 20_000]
+OTHERS = [" ".join(f"w{i}{c}" for c in "abcdefghijklmnop") for i in range(3)]
+#: Null ids over unrelated texts, one of them a copy; one id with two texts; a repeated row.
+ROWS = [*enumerate(TEXTS), (5, GOOD), (5, OTHERS[0]), (None, GOOD), (None, OTHERS[0]), (None, OTHERS[1]), (None, OTHERS[2]), (None, OTHERS[2].upper())]
+
+
+@pytest.fixture(scope="module")
+def odd_dirs(spark, tmp_path_factory):
+    roots = [f"file://{tmp_path_factory.mktemp('pipeline')}" for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, 5, 2) for i, t in ROWS], DOCS)
+    labels = spark.createDataFrame([(5, 1, 0), (6, None, None), (7, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for root, n in zip(roots, (1000, 0)):
+        docs.limit(n).write.parquet(f"{root}/documents.parquet")
+        labels.limit(n).write.parquet(f"{root}/labels.parquet")
+    return roots
+
+
+def one_a_group(rows):
+    """(text's fingerprint, least id) of each group of rows, by comparing all."""
+    fps = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    groups = []
+    for k, fp in enumerate(fps):
+        near = [g for g in groups if any((fp ^ fps[j]).bit_count() <= 3 for j in g)]
+        groups = [g for g in groups if g not in near] + [[k, *(j for g in near for j in g)]]
+    ids = [[rows[j][0] for j in g] for g in groups]
+    return sorted(min((i for i in g if i is not None), default=-1) for g in ids), [{fps[j] for j in g} for g in groups]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_take_odd_and_empty_tables(spark, odd_dirs, at):
+    odd, empty = odd_dirs
+    name, stage = pipeline.STAGES[at]
+    none = stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty)
+    got = stage(spark, spark.read.parquet(f"{odd}/documents.parquet"), odd)
+    assert none.columns == got.columns and none.count() == 0
+    rows = got.collect()
+    if name == "packing":
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows if r["start"] == 0) == sorted(-1 if i is None else i for i, _ in ROWS)
+    elif name == "near_duplicates":
+        ids, groups = one_a_group(ROWS)
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows) == ids
+        kept = [simhash.fingerprint((r["text"] or "").encode()) for r in rows]
+        assert all(sum(fp in g for fp in kept) == 1 for g in groups)
+    else:
+        assert {(r["doc_id"], r["text"]) for r in rows} <= set(ROWS)
