@@ -17,9 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests) gets a folder of its own; on a cluster no folder of this machine
+    will do, and the caller is told.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kelpie-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -49,6 +56,11 @@ def fold(key: str, parts: int):
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))
 
 
+def held_out(key: str, parts: int, out: int):
+    """Whether a row is held out of learning; rows without a key always are."""
+    return F.coalesce(fold(key, parts) == out, F.lit(True))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows, the ones whose hashed key is smallest as a share; all rows if there are no more."""
     total = df.count()
@@ -60,8 +72,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
     """docs of the learning folds with their non-null label as ``label``; one label a document, the larger where they differ."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    known = known.filter(fold(id_col, parts) != out)
-    return docs.join(known, id_col)
+    return docs.join(known.filter(~held_out(id_col, parts, out)), id_col)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
@@ -69,6 +80,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
 
     The sample's ids are few by construction and travel to the documents, so no text is shuffled.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, parts) != out))
+    known = labels.filter(F.col(label).isNotNull() & ~held_out(id_col, parts, out))
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    return docs.join(F.broadcast(bounded_sample(known, id_col, rows).limit(2 * rows)), id_col)
+    return docs.join(F.broadcast(bounded_sample(known, id_col, rows)), id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from .common import bounded_sample, fold, labelled_sample, learning_rows, table, written
+from .common import bounded_sample, held_out, labelled_sample, learning_rows, table, written
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 6
@@ -241,7 +241,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """doc_id, held_out, score and predicted of every document."""
     x = written(featured(docs), "quality-features")
     out = scored(x, fit(x, labels))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

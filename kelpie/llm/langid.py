@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import held_out, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 DOCS_PER_LANG, WINDOWS_PER_DOC = 800, 4
@@ -165,7 +165,7 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[s
 
 def fit(docs: DataFrame, parts: int = 4, out: int = 2) -> Network:
     """A network learned from text and lang of the learning folds, up to about DOCS_PER_LANG documents of each language."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", parts), F.lit(out)) != out))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", parts, out))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return Network([], [], [], np.zeros((0, 0)), np.zeros(0))
@@ -196,4 +196,4 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
 def op3_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, fit(docs)).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

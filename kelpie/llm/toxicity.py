@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, table
+from .common import held_out, labelled_sample, table
 
 TRAIN_ROWS = 6_000
 PREFIXES = (4, 5, 6)
@@ -315,4 +315,4 @@ def tag(docs: DataFrame, field: Field, with_spans: bool = True) -> DataFrame:
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = tag(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
