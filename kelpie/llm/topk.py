@@ -1,15 +1,17 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
 Every vector is a row of whole numbers, floor(scale * x). For a query q, dimension d is a list of the candidates sorted
-by q_d * v_d. The lists are read in step, a run of entries at a time from each. A row's score so far is known from what
-was read of it; for dimensions not read yet it gets at least the list's last entry and at most the entry the reading has
-come to, which bound it below and above. When k rows have lower bounds that no other row's upper bound reaches (the rows
-not met included), reading stops, and the rows that still may qualify are resolved to their final scores.
-
-Queries and candidates are dealt into blocks, and each task works on one pair of blocks, so nothing is broadcast and no
-task holds more than two blocks; every query row meets every candidate row once. The best k of each block pair are
-merged per query. Equal vectors of a block are read once: of one vector's copies only the k + 1 smallest ids can matter
-(one may be the query itself).
+by q_d * v_d, best first. The lists are read in step, a run of entries at a time from each, for a batch of queries at
+once: a run is a matrix of the entries met in it, and its product with the queries' weights is added to the rows' sums.
+For lists a row was not met in yet it gets at least the list's last entry and at most the entry the reading has come to,
+which bound it below and above. A query stops reading when neither rows not met at all nor all but a few of those met can
+still reach its best k; these few are resolved to their final scores.
+
+A task holds a block of queries and a block of candidates, and reads the candidates a segment at a time: the k-th best
+score of the segments before is a lower bound that the next one starts with, so reading stops earlier from segment to
+segment. Nothing is broadcast; every query row meets every candidate row once, and a candidate is sent once for each
+QUERIES queries. The best k of each pair of blocks are merged per query. Equal vectors of a segment are read once: of one
+vector's copies only the k + 1 smallest ids can matter (one may be the query itself).
 
 Defined results: vectors that are null, or hold a null or a value that is not finite, take no part; a
 query meets the candidates of its own length, and those of length zero have a null score; ties go to the smaller id;
@@ -28,12 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CANDIDATES = 8192
-QUERIES = 256
-#: How far the lists are read before bounds are compared, as shares of the block; queries that never settle are read to the end.
-DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4)
-#: A query's reading stops when no more rows than this, or a 64th of the block, may qualify.
-SETTLED = 64
+#: Rows of a block of either kind: 32 MB and 8 MB of 64 whole numbers.
+CANDIDATES, QUERIES = 65_536, 16_384
+#: Blocks are not cut smaller than this for the sake of idle cores.
+LEAST = 4096
+#: Rows of a block's first segment, which gives the first bound, and of the others.
+FIRST, SEGMENT = 1024, 4096
+#: Queries that read together.
+BATCH = 512
+#: How far the lists have been read when bounds are compared, as shares of the segment.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
+#: Reading stops when no more rows than this share of the segment, or FEW, may qualify.
+SETTLED, FEW = 1 / 4, 64
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -44,7 +52,8 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
 
 
 class Lists:
-    """The candidates of a block, one row a distinct vector, with their order in every dimension."""
+    """The candidates of a segment, one row a distinct vector. Every dimension has two lists: greatest entry first, for
+    queries whose weight is positive, and least first. Lists 0 to dims - 1 are of the first kind, the rest of the second."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, keep: int):
         by_id = np.argsort(ids, kind="stable")
@@ -54,51 +63,88 @@ class Lists:
         cuts = np.concatenate(([0], np.cumsum(np.bincount(group.reshape(-1), minlength=len(self.v)))))
         self.ids = [ids[order[a : min(b, a + keep)]] for a, b in zip(cuts[:-1], cuts[1:])]
         n, dims = self.v.shape
-        order = np.argsort(self.v, axis=0, kind="stable")  # a list per dimension, ascending
-        self.values = np.take_along_axis(self.v, order, axis=0).astype(np.float64)
-        self.place = np.empty((n, dims), np.int32)  # of each row in each list
-        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        up = np.argsort(self.v, axis=0, kind="stable")
+        place = np.empty((n, dims), np.int32)
+        np.put_along_axis(place, up, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        values = np.take_along_axis(self.v, up, axis=0)
+        self.entries = np.concatenate([values[::-1], values], axis=1).astype(np.float64)  # (entry, list)
+        self.met_at = np.concatenate([n - 1 - place, place], axis=1)  # (row, list): the row's entry
+
+    def run(self, done: int, depth: int, kind) -> np.ndarray:
+        """(row, list): the entries from done up to depth, 0 for rows that are met before or after."""
+        return np.where((self.met_at >= done) & (self.met_at < depth), np.concatenate([self.v, self.v], axis=1), 0).astype(kind)
+
+
+def kth_largest(x: np.ndarray, k: int) -> np.ndarray:
+    """A number that k or more entries of each row of x reach; the k-th largest of the largest of its parts."""
+    parts = min(x.shape[1], 16 * k)
+    cut = x.shape[1] // parts
+    tops = x[:, : cut * parts].reshape(len(x), parts, cut).max(axis=2)
+    return np.partition(tops, parts - k, axis=1)[:, parts - k]
 
 
-def nra(lists: Lists, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """For each query the k best (score, id) of a block, ties to smaller ids, the query's own row left out.
+def contenders(lists: Lists, queries: np.ndarray, k: int, bars: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """For each query the rows that may be among the k best of those that score its bar or more, and the entries read to tell.
 
-    All queries read to the same depth: dimension d from the back where q_d > 0, from the front where q_d < 0. What was
-    read of a row, above the lists' last entries, bounds it below; the entries the reading has come to bound the rest.
-    Sums are of whole numbers and exact in doubles; a block whose products could pass 2^52 is read to the end.
+    Sums are of whole numbers and exact; where they could pass 2^52 every row is left to be resolved.
     """
     n, dims = lists.v.shape
-    low_end, high_end = lists.values[0], lists.values[-1]
-    exact = max(np.abs(low_end).max(initial=0), np.abs(high_end).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, dims) < 2.0**52
-    rows_of: list[np.ndarray] = [np.arange(n)] * len(queries)
-    open_ = np.arange(len(queries))
-    for share in DEPTHS if exact and n > 4 * (k + 1) else ():
-        depth = max(1, int(n * share))
-        up = np.maximum(queries[open_], 0).T.astype(np.float64)
-        down = np.minimum(queries[open_], 0).T.astype(np.float64)
-        from_back, from_front = lists.place >= n - depth, lists.place < depth
-        low = np.where(from_back, lists.v - low_end, 0.0) @ up + np.where(from_front, lists.v - high_end, 0.0) @ down
-        spare = (~from_back).astype(np.float64) @ (up * (lists.values[n - depth] - low_end)[:, None])
-        spare += (~from_front).astype(np.float64) @ (down * (lists.values[depth - 1] - high_end)[:, None])
-        # rows are distinct vectors, and one of their ids may be the query's own: k + 1 rows must be safe
-        bar = np.partition(low, n - (k + 1), axis=0)[n - (k + 1)]
-        may = low + spare >= bar
-        left = may.sum(axis=0)
-        done = left <= max(SETTLED, n // 64)
-        for j in np.flatnonzero(done):
-            rows_of[open_[j]] = np.flatnonzero(may[:, j])
-        open_ = open_[~done]
+    few = max(FEW, int(n * SETTLED))
+    rows_of = [np.arange(n)] * len(queries)
+    largest = np.abs(lists.entries[[0, -1]]).max(initial=0) * float(np.abs(queries).max(initial=0)) * max(1, dims)
+    if n <= max(few, k) or largest >= 2.0**52:
+        return rows_of, 0
+    kind = np.float32 if largest < 2.0**23 else np.float64
+    weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(kind)
+    lengths = (queries != 0).sum(axis=1)  # lists a query reads
+    last = lists.entries[-1].astype(kind)
+    open_, sums, bars = np.arange(len(queries)), np.zeros((len(queries), n), kind), bars.astype(np.float64)
+    done = read = 0
+    for share in DEPTHS:
+        depth = max(done + 1, int(n * share))
+        sums += weights @ lists.run(done, depth, kind).T
+        read += int(lengths.sum()) * (depth - done)
+        done = depth
+        unmet = (lists.met_at >= depth).astype(kind).T
+        come_to = lists.entries[depth - 1].astype(kind)
+        outside = weights @ come_to  # no row that was not met scores more
+        if (outside > bars).any():  # rows are distinct vectors, and one of their ids may be the query's own: k + 1 must be safe
+            bars = np.maximum(bars, kth_largest(sums + (weights * last) @ unmet, k + 1))
+        closed = np.flatnonzero((outside <= bars) | (depth == n))
+        if len(closed):
+            may = sums[closed] + (weights[closed] * come_to) @ unmet >= bars[closed, None]
+            stop = (may.sum(axis=1) <= few) | (depth == n)
+            for j, row in zip(closed[stop], may[stop]):
+                rows_of[open_[j]] = np.flatnonzero(row)
+            still = np.ones(len(open_), bool)
+            still[closed[stop]] = False
+            open_, sums, bars, weights, lengths = open_[still], sums[still], bars[still], weights[still], lengths[still]
         if not len(open_):
             break
-    out = []
-    for q, mine, rows in zip(queries, own, rows_of):
-        scores = lists.v[rows] @ q  # resolved
-        if len(rows) > k + 1:
-            top = np.partition(scores, len(rows) - (k + 1))[len(rows) - (k + 1)]
-            rows, scores = rows[scores >= top], scores[scores >= top]
-        best = sorted((-int(s), int(i)) for s, r in zip(scores, rows) for i in lists.ids[r] if i != mine)
-        out.append([(-s, i) for s, i in best[:k]])
-    return out
+    return rows_of, read
+
+
+def nra(ids: np.ndarray, v: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """For each query the k best (score, id) of a block, ties to smaller ids, its own row left out; and the entries read."""
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # (-score, id), ascending
+    read = 0
+    cuts = [0, *range(min(FIRST, len(v)), len(v), SEGMENT), len(v)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        lists = Lists(ids[a:b], v[a:b], k + 1)
+        for at in range(0, len(queries), BATCH):
+            some = queries[at : at + BATCH]
+            bars = np.array([-found[-1][0] if len(found) == k else -np.inf for found in best[at : at + BATCH]])
+            left, entries = contenders(lists, some, k, bars)
+            read += entries
+            for j, (q, rows, bar) in enumerate(zip(some, left, bars), at):
+                scores = lists.v[rows] @ q  # resolved
+                if len(rows) > k + 1:
+                    bar = max(bar, np.partition(scores, len(rows) - (k + 1))[len(rows) - (k + 1)])
+                found = [(-int(s), int(i)) for s, r in zip(scores[scores >= bar], rows[scores >= bar]) for i in lists.ids[r] if i != own[j]]
+                best[j] = sorted(best[j] + found)[:k]
+    return [[(-s, i) for s, i in found] for found in best], read
 
 
 def _block_pair(k: int):
@@ -111,12 +157,10 @@ def _block_pair(k: int):
                 ids = sorted(rows["vec_id"].tolist())
                 out += [(q, i, None) for q in asked["vec_id"].tolist() for i in islice((i for i in ids if i != q), k)]
                 continue
-            lists = Lists(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.int64), k + 1)
-            for at in range(0, len(asked), QUERIES):
-                some = asked.iloc[at : at + QUERIES]
-                own = some["vec_id"].to_numpy(np.int64)
-                found = nra(lists, np.stack(some["v"].to_list()).astype(np.int64), own, k)
-                out += [(int(q), i, s) for q, best in zip(own, found) for s, i in best]
+            own = asked["vec_id"].to_numpy(np.int64)
+            whole = lambda side: np.stack(side["v"].to_list()).astype(np.int64)
+            found, _ = nra(rows["vec_id"].to_numpy(np.int64), whole(rows), whole(asked), own, k)
+            out += [(int(q), i, s) for q, best in zip(own, found) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "Int64"})
 
     return run
@@ -126,7 +170,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates (vec_id, v) of every query (vec_id, v)."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
     n_cand, n_query = candidates.count(), queries.count()
-    c_blocks = max(2 * cores, -(-n_cand // CANDIDATES))
+    c_blocks = max(1, min(cores, -(-n_cand // LEAST)), -(-n_cand // CANDIDATES))
     q_blocks = max(1, -(-n_query // QUERIES))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("qb", block(q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))

@@ -289,18 +289,36 @@ def test_sequences_are_what_the_pieces_say(spark):
 # ---- 4 top-k
 
 
-def test_nra_matches_brute_force():
+def brute_best(ids, v, q, me, k=5):
+    return [(-a, b) for a, b in sorted((-int(s), int(i)) for s, i in zip(v @ q, ids) if i != me)[:k]]
+
+
+def test_nra_matches_brute_force(monkeypatch):
+    monkeypatch.setattr(topk, "SEGMENT", 1500)
     rng = np.random.default_rng(5)
-    for n, dims in ((1, 3), (6, 1), (40, 4), (900, 9), (2500, 64)):
+    for n, dims in ((1, 3), (6, 1), (40, 4), (900, 9), (2500, 64), (4000, 3)):
         v = rng.integers(-4, 5, (n, dims))
         v[n // 2 :] = v[: n - n // 2]  # copies
         ids = rng.permutation(n)
-        lists = topk.Lists(ids, v, 6)
         q = np.concatenate([v[:6], np.zeros((1, dims), np.int64)])
         own = np.concatenate([ids[:6], [-1]])
-        for got, x, me in zip(topk.nra(lists, q, own, 5), q, own):
-            s = v @ x
-            assert got == [(-a, b) for a, b in sorted((-int(s[j]), int(ids[j])) for j in range(n) if ids[j] != me)[:5]]
+        for scale in (1, 1 << 24, 1 << 27):  # sums beyond single precision, and beyond double
+            got, _ = topk.nra(ids, v * scale, q * scale, own, 5)
+            assert got == [brute_best(ids, v * scale, x * scale, me) for x, me in zip(q, own)]
+
+
+def test_reading_stops_early_on_skewed_lists():
+    rng = np.random.default_rng(9)
+    v = np.floor(rng.pareto(1.5, (9000, 6)) * 100).astype(np.int64)
+    q, ids = np.abs(v[:20]) // 50 + 1, np.arange(9000)
+    got, read = topk.nra(ids, v, q, ids[:20], 5)
+    assert got == [brute_best(ids, v, x, i) for i, x in enumerate(q)]
+    assert read < 0.4 * v.size * len(q)
+    lists = topk.Lists(ids, v, 6)
+    rows_of, alone = topk.contenders(lists, q, 5, np.full(20, -np.inf))  # bounds of its own reading only
+    assert alone < 0.5 * v.size * len(q)
+    for x, rows in zip(q, rows_of):
+        assert len(rows) < 0.2 * len(lists.v) and {*np.sort(lists.v @ x)[::-1][:5]} <= {*(lists.v[rows] @ x)}
 
 
 def test_vectors_that_take_no_part(spark):
