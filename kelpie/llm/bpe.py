@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Runs between blanks whose encodings a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Arcs of this many symbols or more are looked up by their first symbols before any is tried.
+HEAD = 4
 
 
 @lru_cache(1)
@@ -115,7 +117,7 @@ class Automaton:
         return known
 
     def arcs(self, end: str) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
-        """Labels that can be arcs inside a word, those that end it (without the mark), and the longest by first two symbols."""
+        """Labels that can be arcs inside a word, those that end it (without the mark), and the longest by first HEAD symbols."""
         inner, last = {}, {}
         for label, t in self.vocab.items():
             bare = label[: -len(end)] if end and label.endswith(end) else label
@@ -124,7 +126,8 @@ class Automaton:
         last = last if end else inner
         reach: dict[str, int] = {}
         for bare in (*inner, *last):
-            reach[bare[:2]] = max(reach.get(bare[:2], 1), len(bare))
+            if len(bare) >= HEAD:
+                reach[bare[:HEAD]] = max(reach.get(bare[:HEAD], HEAD), len(bare))
         return inner, last, reach
 
     def encode(self, word: str, arcs: tuple[dict[str, int], dict[str, int], dict[str, int]]) -> list[int]:
@@ -132,11 +135,11 @@ class Automaton:
         inner, final, reach = arcs
         if (one := final.get(word)) is not None:
             return [one]
-        n, far, table = len(word), reach.get, self._table
+        n, far, table, short = len(word), reach.get, self._table, HEAD - 1
         dead = set()
         path: list[int] = []
         places: list[int] = []
-        at, last, stop = 0, -1, min(n, far(word[:2], 1))
+        at, last, stop = 0, -1, min(n, far(word[:HEAD], short))
         while at < n:
             found = None
             while stop > at:
@@ -149,7 +152,7 @@ class Automaton:
                 path.append(found)
                 places.append(stop)
                 at, last = stop, found
-                stop = min(n, at + far(word[at : at + 2], 1))
+                stop = min(n, at + far(word[at : at + HEAD], short))
             else:
                 if not path:
                     raise ValueError(f"no path for {word!r}")
@@ -195,8 +198,7 @@ class WordTokenizer:
         self.blank = regex.compile(r"\s+")
         # no word of the pattern reaches over a blank, so runs between blanks are split and encoded once
         self.words = Memory(self.word)
-        self.ids = Memory(lambda run: b"".join([self.words[w][0] for w in self.split(run)]))
-        self.said = Memory(lambda run: " ".join([self.words[w][1] for w in self.split(run)]))
+        self.runs = Memory(self.pieces)
         self.odd = regex.compile("[\x1c-\x1f]").search  # str.split takes these for blanks, the pattern doesn't
 
     def normal(self, text: str) -> str:
@@ -210,10 +212,16 @@ class WordTokenizer:
         ids = self.automaton.encode(w.encode().decode("latin-1").translate(self.symbols), self.arcs)
         return array("I", ids).tobytes(), " ".join([self.label[i] for i in ids])
 
+    def pieces(self, run: str) -> tuple[bytes, str]:
+        """Ids and labels of a run between blanks."""
+        got = [self.words[w] for w in self.split(run)]
+        return got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+
     def _part(self, text: str) -> tuple[bytes, str]:
         text = self.normal(text)
         runs = self.blank.split(text) if self.odd(text) else text.split()
-        return b"".join(map(self.ids.__getitem__, runs)), " ".join(filter(None, map(self.said.__getitem__, runs)))
+        got = [self.runs[r] for r in runs]
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
     def run(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian unsigned 32-bit integers, and the decoded text."""
