@@ -2,35 +2,36 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of documents.
+
+Defined results: every row of documents is judged for itself, repeated rows and rows without an id included; other
+columns, null or of names the operators use themselves, are carried as they are; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpie.llm import gam, packing, quality_rules, simhash
-from kelpie.llm.common import shared_dir, table
+from kelpie.llm.common import table, written
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule."""
+    """Documents that fail no rule; null, empty and blank texts have no words and go."""
     return quality_rules.keep(docs, quality_rules.cascade_order(docs))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of what came in, scores 0.3 or more."""
+    """Documents that the classifier, trained on the labels of what came in, scores 0.3 or more; without labels all score 0.5 and stay."""
     return gam.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of the smallest id; null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; a null or empty text is its closing id."""
     return packing.pack_documents(docs)
 
 
@@ -46,10 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; common.clear() deletes what they wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

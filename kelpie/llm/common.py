@@ -32,23 +32,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that written() made in this process and that are still there.
+_MADE: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: cuts lineage, survives lost executors."""
+    """df, written once to the shared folder and read from there: cuts lineage, survives lost executors.
+
+    A result may read such tables until it is consumed; clear() then deletes them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.discard(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that written() made, once no result is read any more."""
+    for folder in sorted(_MADE):
+        _delete(spark, folder)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(shared_dir(spark).split(":")[0]) and "-" in folder.rsplit("/", 1)[-1]:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for folder in [m for m in _MADE if m.rsplit("/", 1)[-1] in names]:
+        _delete(spark, folder)
 
 
 def fold(key: str, parts: int):
@@ -69,17 +85,13 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
-    """docs of the learning folds with their non-null label as ``label``; one label a document, the larger where they differ."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    return docs.join(known.filter(~held_out(id_col, parts, out)), id_col)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
-    """As learning_rows, but of a sample of at most about ``rows`` labels that is drawn first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, value: str = "text", id_col: str = "doc_id", parts: int = 5, out: int = 0) -> DataFrame:
+    """id, label and value of a sample of at most about ``rows`` labelled ids of the learning folds.
 
-    The sample's ids are few by construction and travel to the documents, so no text is shuffled.
+    The sample's ids are drawn first, few by construction, and travel to the documents, so no other text is shuffled.
+    One row an id, with its larger label and its least non-null value, so a repeated id does not widen the sample.
     """
     known = labels.filter(F.col(label).isNotNull() & ~held_out(id_col, parts, out))
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    return docs.join(F.broadcast(bounded_sample(known, id_col, rows)), id_col)
+    met = docs.select(id_col, value).join(F.broadcast(bounded_sample(known, id_col, rows)), id_col)
+    return met.groupBy(id_col, "label").agg(F.min(value).alias(value))

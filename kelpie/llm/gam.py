@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from .common import bounded_sample, held_out, labelled_sample, learning_rows, table, written
+from .common import held_out, labelled_sample, table, written
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 6
@@ -215,8 +215,8 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(x: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, out: int = 0) -> Model:
-    """Model of the features x (doc_id, x) learned from at most about TRAIN_ROWS labelled rows of the learning folds."""
-    return learned(bounded_sample(learning_rows(x, labels, label, "doc_id", parts, out), "doc_id", TRAIN_ROWS))
+    """Model of the features x (doc_id, x) learned from at most about TRAIN_ROWS labelled ids of the learning folds."""
+    return learned(labelled_sample(x, labels, label, TRAIN_ROWS, "x", "doc_id", parts, out))
 
 
 def learned(sample: DataFrame) -> Model:
@@ -246,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that score at least the threshold. Texts are scored where they are, without a join."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", TRAIN_ROWS)
+    sample = labelled_sample(docs, labels, "quality", TRAIN_ROWS)
     model = learned(featured(sample, also=("label",)))
     columns = docs.columns
 

@@ -6,7 +6,8 @@ labelled texts with Adam. Applied, the embedding and a filter's weights at one o
 convolution is a sum of table rows; windows of fixed length go through in batches. All windows of a text are read, and
 their probabilities are averaged.
 
-Training takes a bounded sample, up to DOCS_PER_LANG documents of each language; everything else covers all rows.
+Training takes a bounded sample: WINDOWS_PER_DOC windows, cut where the texts are, of up to DOCS_PER_LANG documents of each
+of the LANGS commonest languages, and of no more than TRAIN_DOCS documents in all; everything else covers all rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text shorter than a window is
 padded with zero bytes; with no labelled rows everything is ``und``; null languages teach nothing; repeated rows get
@@ -15,6 +16,7 @@ equal predictions; clashing columns of the input are not read.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,7 @@ from .common import held_out, table
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 DOCS_PER_LANG, WINDOWS_PER_DOC = 800, 4
+LANGS, TRAIN_DOCS = 256, 25_600
 STEPS, BATCH, RATE = 260, 96, 0.01
 #: Windows that go through the tables at a time.
 AT_ONCE = 96
@@ -91,20 +94,18 @@ def _ascii_letter():
 has_letter.ascii = _ascii_letter()
 
 
-def windows_of(texts: list[bytes], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows at random places, some cut short as short texts are, and the text each came from."""
-    out, owner = [], []
-    for i, text in enumerate(texts):
-        for _ in range(WINDOWS_PER_DOC):
-            length = WINDOW if rng.random() < 0.75 else int(rng.integers(12, WINDOW))
-            a = int(rng.integers(0, max(1, len(text) - length + 1)))
-            out.append(np.frombuffer(text[a : a + length].lower().ljust(WINDOW, b"\0"), np.uint8))
-            owner.append(i)
-    return np.array(out, np.uint8).reshape(-1, WINDOW), np.array(owner)
+def windows_of(text: bytes) -> list[bytes]:
+    """Training windows at random places of a text, some cut short as short texts are. Equal texts have equal windows."""
+    rng, out = np.random.default_rng(zlib.crc32(text)), []
+    for _ in range(WINDOWS_PER_DOC):
+        length = WINDOW if rng.random() < 0.75 else int(rng.integers(12, WINDOW))
+        a = int(rng.integers(0, max(1, len(text) - length + 1)))
+        out.append(text[a : a + length].lower().ljust(WINDOW, b"\0"))
+    return out
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 5) -> Network:
-    """A network from labelled texts; every language weighs the same."""
+def train(windows: list[bytes], langs: list[str], seed: int = 5) -> Network:
+    """A network from labelled windows; every language weighs the same."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     wide = FILTERS * len(WIDTHS)
@@ -114,8 +115,8 @@ def train(texts: list[bytes], langs: list[str], seed: int = 5) -> Network:
     p["w"] = rng.normal(0, 0.1, p["w"].shape)
     p = {k: v.astype(np.float32) for k, v in p.items()}
     if len(names) > 1:
-        x, owner = windows_of(texts, rng)
-        y = np.searchsorted(names, np.array(langs))[owner]
+        x = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
+        y = np.searchsorted(names, np.array(langs))
         share = 1 / np.bincount(y, minlength=len(names))[y]
         share /= share.sum()
         first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -127,6 +128,11 @@ def train(texts: list[bytes], langs: list[str], seed: int = 5) -> Network:
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return compiled(p, names)
+
+
+def compiled(p: dict[str, np.ndarray], names: list[str]) -> Network:
+    """The network with each filter's weights at an offset multiplied into the embedding: a table of 256 rows."""
     tables = [np.stack([p["e"] @ p[f"f{w}"][k * EMBED : (k + 1) * EMBED] for k in range(w)]).astype(np.float32) for w in WIDTHS]
     return Network(names, tables, [p[f"b{w}"] for w in WIDTHS], p["w"], p["o"])
 
@@ -164,17 +170,25 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[s
 
 
 def fit(docs: DataFrame, parts: int = 4, out: int = 2) -> Network:
-    """A network learned from text and lang of the learning folds, up to about DOCS_PER_LANG documents of each language."""
+    """A network learned from text and lang of the learning folds; see the module's text for the sample's bounds."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", parts, out))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not counts:
         return Network([], [], [], np.zeros((0, 0)), np.zeros(0))
-    share = None
-    for lang, n in sorted(counts.items()):
-        upto = F.lit(int(1_000_000 * min(1, DOCS_PER_LANG / n)))
-        share = F.when(F.col("lang") == lang, upto) if share is None else share.when(F.col("lang") == lang, upto)
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(1_000_000)) < share).orderBy("doc_id", "text").toArrow()
-    return train(drawn.column("text").cast(pa.binary()).to_pylist(), drawn.column("lang").to_pylist())
+    each = min(DOCS_PER_LANG, TRAIN_DOCS // len(counts))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * min(1, each / r["count"]))) for r in counts], "lang string, share int")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(1_000_000)) < F.col("share"))
+    # a repeated id does not widen the sample
+    drawn = drawn.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(windows_of(t)) for t in texts], pa.binary())], ["lang", "windows"])
+
+    got = drawn.select("lang", "text").mapInArrow(cut, "lang string, windows binary").orderBy("lang", "windows").toArrow()
+    langs = [lang for lang in got.column("lang").to_pylist() for _ in range(WINDOWS_PER_DOC)]
+    return train(got.column("windows").to_pylist(), langs)
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:

@@ -45,10 +45,12 @@ def assign(df: DataFrame, key: str, weights: list[float], grown: float | None =
     return out.withColumn("grown_shard", F.when(extra < F.col("_won.cost"), F.lit(len(weights))).otherwise(F.col("shard"))).drop("_won")
 
 
-def number_slots(df: DataFrame, chunk_key: str, order: list[str], chunks: int) -> DataFrame:
-    """df with slot, gapless from 0 in each shard: ranks in hashed chunks, plus the rows of the chunks before."""
-    df = df.withColumn("_chunk", F.pmod(F.crc32(F.col(chunk_key).cast("string")), F.lit(chunks)).cast("int"))
-    df = df.withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
+def number_slots(df: DataFrame, order: list[str], chunks: int) -> DataFrame:
+    """df with slot, gapless from 0 in each shard: ranks in chunks of hashed rows, plus the rows of the chunks before.
+
+    Chunks are dealt by all columns of the order, so many rows of one key are many chunks.
+    """
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy(*order)))
     sizes = df.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +70,7 @@ def shard_documents(docs: DataFrame, weights: list[float], grown: float | None =
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    placed = number_slots(assign(slim, "doc_id", weights, grown), "doc_id", ["doc_id", "text_crc32", "size"], chunks)
+    placed = number_slots(assign(slim, "doc_id", weights, grown), ["doc_id", "text_crc32", "size"], chunks)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -37,6 +37,8 @@ SEED = 42
 BLOCK = 1024
 #: Groups up to this size are compared by offsets in one batch, over all groups of a partition at once.
 SMALL = 48
+#: Fingerprints of more rows than one in HOT_KEYS, and than LEAST_HOT, are joined by broadcast: never more than HOT_KEYS of them.
+HOT_KEYS, LEAST_HOT = 10_000, 1000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -269,13 +271,20 @@ def rooted(firsts: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id of every document."""
+    spark = docs.sparkSession
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    # only groups of two or more fingerprints need a second look for their least document
+    firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     linked = rooted(firsts)
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(linked.join(lowest, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(linked.join(lowest, "root").select("fp", "component_id", "n"), "named")
+    dropped(spark, firsts)
+    # fingerprints of many copies are few, at most HOT_KEYS of them, and go to the rows; no task gets more than bar rows of one
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    bar = max(LEAST_HOT, rows // HOT_KEYS)
+    hot = F.broadcast(named.filter(F.col("n") > bar).drop("n"))
+    often = marked.join(hot, "fp")
+    rest = marked.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= bar).drop("n"), "fp")
+    return often.unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +302,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = fingerprints(keyed, id_col, text_col, tuple(keys))
     least = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "_digest", "_id")).alias("first")
     firsts = written(marked.groupBy("fp").agg(least), "distinct")
-    stay = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._digest")
+    stay = written(rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._digest"), "stay")
+    dropped(docs.sparkSession, firsts)
     # copies of a row go before rows are dealt by key; an inner join, as a semi-join would be pushed below that
     return keyed.dropDuplicates([*keys]).join(stay, [*keys]).select(*docs.columns)

@@ -15,7 +15,7 @@ vector's copies only the k + 1 smallest ids can matter (one may be the query its
 
 Defined results: vectors that are null, or hold a null or a value that is not finite, take no part; a
 query meets the candidates of its own length, and those of length zero have a null score; ties go to the smaller id;
-a query never meets its own row; repeated ids are one row each; fewer candidates than k give fewer ranks; an empty table
+a query never meets rows of its own id; rows of a repeated id each count, and share one ranking as queries; fewer candidates than k give fewer ranks; an empty table
 gives no rows; other columns are not read.
 """
 

@@ -5,22 +5,26 @@ its prefixes, transitions from the state before. Token labels for training come
 toxic document is labelled toxic if its word or one of its prefixes is found in toxic documents far more often than
 chance allows, and never or hardly elsewhere; all tokens of other documents are labelled not toxic. The field is trained on
 the likelihood of pieces of these, with forward-backward marginals: of toxic documents the marked tokens with AROUND
-tokens on either side (none where no token is marked), of others two random windows of 4 * AROUND tokens; the rest of
+tokens on either side (none where no token is marked), of others CHAINS random windows of CHAIN_TOKENS tokens; the rest of
 their tokens takes part in the evidence and the logistic only. For every document the marginals of all its tokens are worked out
 exactly; their largest and their sum give the score through a logistic fitted on documents, and runs of tokens with
 marginals of a half or more are the offending spans.
 
-Training takes a bounded sample of labelled rows (TRAIN_ROWS); everything else covers all rows and whole texts.
+Training takes a bounded sample: at most about TRAIN_ROWS labelled documents, of these the KEYS strongest words and prefixes as
+evidence, and CHAINS chains a document of at most CHAIN_TOKENS tokens. Words are counted, chains are cut and documents are
+summed up where the texts are; only keys, chains and two numbers a document come to the driver. Everything else covers all
+rows and whole texts.
 
 Defined results: null and empty texts, and texts without tokens, score what no evidence scores; without toxic labelled
-rows every score is 0; repeated rows score alike; null doc_ids are held out of learning; clashing columns are not read.
+rows every score is next to 0 (below 1e-12); repeated rows score alike; null doc_ids are held out of learning; clashing
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table
+from .common import dropped, held_out, labelled_sample, table, written
 
 TRAIN_ROWS = 6_000
 PREFIXES = (4, 5, 6)
 SLOTS = 1 << 18
-#: A word or prefix is toxic evidence above this likelihood ratio statistic and rate ratio.
-EVIDENCE, RATIO = 40.0, 8.0
-AROUND, PASSES, RATE = 6, 20, 0.3
+#: A word or prefix is toxic evidence above this likelihood ratio statistic and rate ratio, found this often at least.
+EVIDENCE, RATIO, MET = 40.0, 8.0, 6
+KEYS = 20_000
+#: Occurrences that a worker holds to leave out repeated ones before it sends them.
+HELD = 100_000
+AROUND, CHAINS, CHAIN_TOKENS = 6, 2, 24
+PASSES, RATE = 20, 0.3
 #: Tokens whose chains are worked out together, and words whose emissions a worker remembers.
 TOKENS, REMEMBERED = 400_000, 400_000
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -99,82 +107,82 @@ def messages(e: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.n
     return odds / (1 + odds), fore, back
 
 
-def evidence(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> set[str]:
-    """Keys that mark toxic documents, by the likelihood ratio test of their rates in the two kinds, and the ratio.
+def evidence(sample: DataFrame) -> set[str]:
+    """Keys that mark toxic documents of the sample (text, label), by the likelihood ratio test of their rates in the two kinds, and the ratio.
 
-    docs: numbers of words. Occurrences between the same two neighbours count once, so copies of a document are no
-    evidence of their own.
+    Occurrences between the same two neighbours count once, so copies of a document are no evidence of their own.
     """
-    counts, totals = [], []
-    for kind in (False, True):
-        mine = [d for d, bad in zip(docs, toxic) if bool(bad) == kind and len(d)]
-        if not mine:
-            counts.append(Counter())
-            totals.append(1)
-            continue
-        one = np.concatenate(mine).astype(np.uint64)
-        before = np.concatenate([np.concatenate(([len(words)], d[:-1])) for d in mine]).astype(np.uint64)
-        after = np.concatenate([np.concatenate((d[1:], [len(words)])) for d in mine]).astype(np.uint64)
-        place = (one * np.uint64(0x9E3779B97F4A7C15) + before) * np.uint64(0xC2B2AE3D27D4EB4F) + after
-        place = (place ^ (place >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
-        _, first = np.unique(place, return_index=True)
-        keys: Counter = Counter()
-        for w, n in enumerate(np.bincount(one[first].astype(np.int64), minlength=len(words)).tolist()):
-            if n:
-                for k in keys_of(words[w]):
-                    keys[k] += n
-        counts.append(keys)
-        totals.append(len(first) + 1)
-    (other, one), (n0, n1) = counts, totals
-    out = set()
-    for key, k1 in one.items():
-        k0 = other.get(key, 0)
-        if k1 < 6 or k1 / n1 < RATIO * (k0 + 0.5) / n0:
-            continue
-        p = (k1 + k0) / (n1 + n0)
-        gain = k1 * np.log(k1 / n1 / p) + (k0 * np.log(k0 / n0 / p) if k0 else 0)
-        if 2 * gain > EVIDENCE:
-            out.add(key)
-    return out
 
+    def met(batches):
+        seen: set[tuple[bool, str, str]] = set()
+
+        def out():
+            columns = [pa.array([s[i] for s in seen], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, ["toxic", "word", "place"])
+
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                ws = ["", *TOKEN.findall((text or "").lower()), ""]
+                seen.update((label > 0, w, f"{a} {b}") for a, w, b in zip(ws, ws[1:], ws[2:]))
+                if len(seen) > HELD:
+                    yield out()
+        yield out()
+
+    places = sample.mapInArrow(met, "toxic boolean, word string, place string").select("toxic", "word", F.xxhash64("place").alias("place")).distinct()
+    words = places.groupBy("word").agg(F.count_if(F.col("toxic")).alias("k1"), F.count_if(~F.col("toxic")).alias("k0"))
+    prefixes = [F.when(F.length("word") >= n, F.concat(F.lit(f"{n}^"), F.substring("word", 1, n))) for n in PREFIXES]
+    keys = words.select(F.explode(F.array_compact(F.array(F.col("word"), *prefixes))).alias("key"), "k1", "k0")
+    keys = keys.groupBy("key").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).filter(F.col("k1") >= MET)
+    totals = F.broadcast(words.agg((F.sum("k1") + 1).alias("n1"), (F.sum("k0") + 1).alias("n0")))  # one row
+    share = (F.col("k1") + F.col("k0")) / (F.col("n1") + F.col("n0"))
+    gain = F.col("k1") * F.log(F.col("k1") / F.col("n1") / share) + F.when(F.col("k0") > 0, F.col("k0") * F.log(F.col("k0") / F.col("n0") / share)).otherwise(0)
+    strong = keys.crossJoin(totals).filter(F.col("k1") / F.col("n1") >= RATIO * (F.col("k0") + 0.5) / F.col("n0")).withColumn("gain", 2 * gain)
+    return {r["key"] for r in strong.filter(F.col("gain") > EVIDENCE).orderBy(F.desc("gain"), "key").limit(KEYS).collect()}
+
+
+def cut_chains(words: list[str], toxic: bool, marked: Callable[[str], bool], rng) -> list[tuple[list[str], list[int]]]:
+    """Training chains of a document with their labels: the surroundings of marked tokens, or pieces of a clean document."""
+    if not toxic:
+        starts = [int(rng.integers(0, max(1, len(words) - 2 * AROUND))) for _ in range(CHAINS)]
+        pieces = [words[a : a + CHAIN_TOKENS] for a in starts]
+        return [(p, [0] * len(p)) for p in pieces if p]
+    y = [int(marked(w)) for w in words]
+    hits = np.flatnonzero(y)
+    out = []
+    for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * AROUND) + 1) if len(hits) else []:
+        a, b = max(0, int(group[0]) - AROUND), int(group[-1]) + AROUND + 1
+        out += [(words[i : min(b, i + CHAIN_TOKENS)], y[i : min(b, i + CHAIN_TOKENS)]) for i in range(a, min(b, len(words)), CHAIN_TOKENS)]
+    return out[:CHAINS]
+
+
+def chains_of(sample: DataFrame, keys: set[str]) -> DataFrame:
+    """Chains of the sample (text, label): words, and labels as text of 0 and 1."""
+
+    def cut(batches):
+        known: dict[str, bool] = {}
+
+        def marked(word: str) -> bool:
+            if word not in known:
+                known[word] = any(k in keys for k in keys_of(word))
+            return known[word]
+
+        for batch in batches:
+            got = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                ws = TOKEN.findall((text or "").lower())
+                got += cut_chains(ws, label > 0, marked, np.random.default_rng(zlib.crc32((text or "").encode())))
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(ws) for ws, _ in got], pa.string()), pa.array(["".join(map(str, y)) for _, y in got], pa.string())], ["words", "y"])
 
-def _segments(docs: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray, rng) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Training chains and their labels: the surroundings of marked tokens of toxic documents, and pieces of the others."""
-    chains, labels = [], []
-    for d, is_toxic in zip(docs, toxic):
-        if is_toxic:
-            y = marked[d]
-            hits = np.flatnonzero(y)
-            for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * AROUND) + 1) if len(hits) else []:
-                a, b = max(0, int(group[0]) - AROUND), int(group[-1]) + AROUND + 1
-                chains.append(d[a:b])
-                labels.append(y[a:b].astype(float))
-        else:
-            for _ in range(2):
-                a = int(rng.integers(0, max(1, len(d) - 2 * AROUND)))
-                chains.append(d[a : a + 4 * AROUND])
-                labels.append(np.zeros(len(chains[-1])))
-    some = [i for i, c in enumerate(chains) if len(c)]
-    return [chains[i] for i in some], [labels[i] for i in some]
-
-
-def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Field:
-    rng = np.random.default_rng(seed)
-    toxic = np.asarray(toxic, bool)
-    field = Field(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
-    if not toxic.any():
-        return field
+    return sample.mapInArrow(cut, "words string, y string")
+
+
+def learn(chains: list[list[str]], labels: list[np.ndarray]) -> Field:
+    """Weights, bias and moves of a field from labelled chains of words; its link is still to be fitted."""
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())), np.int32) for t in texts]
-    words = list(number)
-    bad = evidence(docs, toxic, words)
-    marked = np.array([any(k in bad for k in keys_of(w)) for w in words], bool)
-    chains, labels = _segments(docs, toxic, marked, rng)
-    if not chains:
-        return field
-    ids, y = np.concatenate(chains), np.concatenate(labels)
-    met, ids = np.unique(ids, return_inverse=True)
-    slots = [slots_of(words[w]) for w in met]
+    ids = np.array([number.setdefault(w, len(number)) for c in chains for w in c], np.int64)
+    met, y = list(number), np.concatenate(labels).astype(float)
+    slots = [slots_of(w) for w in met]
     flat = np.array([s for ss in slots for s in ss], np.int64)
     owner = np.repeat(np.arange(len(met)), [len(ss) for ss in slots])
     lengths = np.array([len(c) for c in chains])
@@ -198,17 +206,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Field:
         gm = (real - _pairs(e, fore, back, move, inner)) / n - 1e-3 * move
         seen_m += gm * gm
         move += 0.1 * gm / np.sqrt(seen_m)
-    field = Field(weights.astype(np.float32), bias, move, (0.0, 1.0, 0.0))
-    # documents: logistic on the largest marginal's log-odds and on the sum of marginals
-    emissions = np.array([field.emission(w) for w in words])
-    x = []
-    for a in range(0, len(docs), 500):
-        some = docs[a : a + 500]
-        size = np.array([len(d) for d in some])
-        p = marginals(emissions[np.concatenate(some)], size, move) if size.sum() else np.zeros(0)
-        x += [summary(q) for q in np.split(p, np.cumsum(size)[:-1])]
-    field.link = _logistic(np.array(x), toxic.astype(float))
-    return field
+    return Field(weights.astype(np.float32), bias, move, (0.0, 1.0, 0.0))
 
 
 def _pairs(e: np.ndarray, fore: np.ndarray, back: np.ndarray, move: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -285,10 +283,40 @@ def spans(text: str, p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def no_field() -> Field:
+    return Field(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
+
+
+def fit_sample(sample: DataFrame) -> Field:
+    """A field learned from a bounded sample (text, label), which is read three times."""
+    keys = evidence(sample)
+    got = chains_of(sample, keys).orderBy("words", "y").toArrow() if keys else None
+    if got is None or not got.num_rows:
+        return no_field()
+    field = learn([w.split(" ") for w in got.column("words").to_pylist()], [np.frombuffer(y.encode(), np.uint8) - 48 for y in got.column("y").to_pylist()])
+    sums = summed(sample, field).orderBy("top", "total", "label").toArrow()
+    field.link = _logistic(np.column_stack([sums.column("top").to_numpy(), sums.column("total").to_numpy()]), (sums.column("label").to_numpy() > 0).astype(float))
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out: int = 0) -> Field:
     """A field learned from at most about TRAIN_ROWS labelled documents of the learning folds."""
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, label, TRAIN_ROWS, "doc_id", parts, out).orderBy("doc_id", "text").toArrow()
-    return train([t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("label").to_pylist(), int) > 0)
+    sample = written(labelled_sample(docs, labels, label, TRAIN_ROWS, "text", "doc_id", parts, out).select("text", "label"), "toxicity-sample")
+    field = fit_sample(sample)
+    dropped(docs.sparkSession, sample)
+    return field
+
+
+def summed(sample: DataFrame, field: Field) -> DataFrame:
+    """top, total and label of the sample (text, label): what the logistic is fitted on."""
+
+    def run(batches):
+        known = Emissions(field)
+        for batch in batches:
+            got = [summary(p) for p in field_marginals(field, (TOKEN.findall((t or "").lower()) for t in batch.column("text").to_pylist()), known)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column("label").cast(pa.int64())], ["top", "total", "label"])
+
+    return sample.mapInArrow(run, "top double, total double, label long")
 
 
 def tag(docs: DataFrame, field: Field, with_spans: bool = True) -> DataFrame:
