@@ -1,16 +1,27 @@
-"""Ranking: exact vector search, lexical search, fusion, reranking, context packing, retrieval metrics."""
+"""Ranking: exact vector search, lexical search, fusion, reranking, context packing, retrieval metrics.
+
+Searches read the corpus once for each MOST_QUERIES queries: the queries go to every task, which scores its rows in blocks
+with matrix products and keeps the k best of each query, so what is shuffled is k rows a query and task, whatever the corpus.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kelpie.functions.text import inferred_items, or_terms, tokens
 
-#: Queries of one call; all of them travel to every task, so their number is bounded.
+#: Queries of one pass over the corpus; all of them travel to every task, so their number is bounded.
 MOST_QUERIES = 4096
+#: Rows and queries of one matrix product.
+ROWS, COLUMNS = 2048, 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,10 +32,78 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def small(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
-    """The queries, marked for broadcast once they are known to be few."""
-    if len(queries.limit(most + 1).select(F.lit(1)).collect()) > most:
-        raise ValueError(f"more than {most} queries; search in batches")
-    return F.broadcast(queries)
+    """The queries, marked for broadcast if they are known to be few; otherwise the join is left to Spark."""
+    return F.broadcast(queries) if len(queries.limit(most + 1).select(F.lit(1)).collect()) <= most else queries
+
+
+def in_batches(queries: DataFrame, search: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """search of the queries, in passes of about ``most`` queries each."""
+    most = MOST_QUERIES if most is None else most
+    passes = max(1, -(-queries.count() // most))
+    if passes == 1:
+        return search(queries)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [search(queries.filter(part == i)) for i in range(passes)])
+
+
+class Best:
+    """The k best (score, id) of each query while rows pass by: higher scores first, then smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * queries
+
+    def add(self, at: int, ids: np.ndarray, scores: np.ndarray, extra: np.ndarray | None = None, least: int | None = None) -> None:
+        """Rows' scores for the queries from ``at`` on: (query, row). Scores below ``least`` don't count."""
+        for j, mine in enumerate(scores, at):
+            held = self.held[j]
+            full = held is not None and len(held[0]) == self.k
+            floor = max(x for x in (least, int(held[0][-1]) if full else None, np.iinfo(np.int64).min) if x is not None)
+            rows = np.flatnonzero(mine >= floor)
+            if len(rows) > self.k:
+                rows = rows[mine[rows] >= np.partition(mine[rows], len(rows) - self.k)[len(rows) - self.k]]
+            if not len(rows):
+                continue
+            new = (mine[rows], ids[rows], np.zeros(len(rows)) if extra is None else extra[j - at, rows])
+            score, name, more = new if held is None else (np.concatenate(x) for x in zip(held, new))
+            order = np.lexsort((name, -score))[: self.k]
+            self.held[j] = (score[order], name[order], more[order])
+
+    def batch(self, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+        found = [(j, *h) for j, h in enumerate(self.held) if h is not None]
+        owner = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+        whole = lambda i, empty: np.concatenate([f[i] for f in found]) if found else empty
+        ids = pa.array(whole(2, np.zeros(0, np.int64)).tolist(), id_type)
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(owner)), ids, pa.array(whole(1, np.zeros(0, np.int64)).astype(np.int64)), pa.array(whole(3, np.zeros(0)).astype(float))], ["query_id", "id", "score", "extra"]
+        )
+
+
+Scorer = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    ids = column.to_numpy(zero_copy_only=False)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def best_of(rows: DataFrame, query_ids: pa.Array, query_type, make: Callable[[], Scorer], k: int, least: int | None = None) -> DataFrame:
+    """query_id, id, score and extra of each task's k best rows (id, payload) of every query.
+
+    ``make`` gives, in the task, a function from a batch to (first query, ids, scores, extra) of its blocks.
+    """
+
+    def run(batches):
+        score, best, id_type = make(), Best(len(query_ids), k), None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for at, ids, scores, extra in score(batch):
+                best.add(at, ids, scores, extra, least)
+        if id_type is not None:
+            yield best.batch(query_ids, id_type)
+
+    schema = StructType([StructField("query_id", query_type), StructField("id", rows.schema["id"].dataType), StructField("score", LongType()), StructField("extra", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def top(ranked: DataFrame, k: int, query: str, *order: Column) -> DataFrame:
@@ -34,12 +113,55 @@ def top(ranked: DataFrame, k: int, query: str, *order: Column) -> DataFrame:
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None) -> DataFrame:
-    """query_id, id, similarity (millionths, so that ties are ties in any engine) and rank of the k nearest. queries: query_id, query_vector."""
+    """query_id, id, similarity (millionths, so that ties are ties in any engine) and rank of the k nearest. queries: query_id, query_vector.
+
+    A query meets the vectors of its own length; null vectors and vectors with a null or non-finite component take no part,
+    and a vector of norm 0 has similarity 0.
+    """
     rows = vectors.filter(F.col(vec_col).isNotNull()) if where is None else vectors.filter(F.col(vec_col).isNotNull() & where)
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    pairs = rows.join(small(queries))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vector")) * 1_000_000).cast("long").alias("similarity"))
-    return top(scored, k, "query_id", F.desc("similarity"), F.col("id"))
+
+    def search(some: DataFrame) -> DataFrame:
+        asked = some.select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q")).filter(F.col("q").isNotNull()).toArrow()
+        wanted = [np.array(q, float) for q in asked.column("q").to_pylist()]
+        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i]))  # queries of one length side by side
+        wanted = [wanted[i] for i in order]
+        return best_of(rows, asked.column("query_id").combine_chunks().take(pa.array(order, pa.int64())), queries.schema["query_id"].dataType, lambda: _cosines(wanted), k)
+
+    found = in_batches(queries, search).withColumnRenamed("score", "similarity").drop("extra")
+    return top(found, k, "query_id", F.desc("similarity"), F.col("id"))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
+
+
+def _cosines(wanted: list[np.ndarray]) -> Scorer:
+    """Cosines in millionths with the queries, which are in order of their lengths."""
+    lengths = np.array([len(q) for q in wanted], np.int64)
+    blocks = []  # (first query, unit vectors)
+    for width in np.unique(lengths):
+        first, past = np.searchsorted(lengths, [width, width + 1])
+        blocks += [(at, _unit(np.stack(wanted[at : min(past, at + COLUMNS)]))) for at in range(first, past, COLUMNS)]
+
+    def score(batch):
+        ids, column = _ids(batch.column(0)), batch.column(1)
+        sizes = np.asarray(column.value_lengths())
+        values, ends = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(sizes)
+        for width in {q.shape[1] for _, q in blocks}:
+            mine = np.flatnonzero(sizes == width)
+            for a in range(0, len(mine), ROWS):
+                some = mine[a : a + ROWS]
+                v = values[(ends[some] - width)[:, None] + np.arange(width)]
+                fine = np.isfinite(v).all(axis=1)
+                v, some = _unit(v[fine]), some[fine]
+                for at, q in blocks:
+                    if q.shape[1] == width and len(some):
+                        cos = q @ v.T
+                        yield at, ids[some], (np.sign(cos) * np.floor(np.abs(cos) * 1e6 + 0.5)).astype(np.int64), None
+
+    return score
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -58,18 +180,80 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 
 def lexical_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score and rank by the sum of term frequencies of the query's distinct terms. queries: query_id, query_text."""
-    terms = small(queries).select("query_id", F.explode(or_terms(F.col("query_text"))).alias("term"))
-    hits = index.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"))
-    return top(hits, k, "query_id", F.desc("score"), F.col("id"))
+    """query_id, id, score and rank by the sum of term frequencies of the query's distinct terms. queries: query_id, query_text.
+
+    index: postings, best written sorted by term, so that a scan skips what no query asks for.
+    """
+
+    def search(some: DataFrame) -> DataFrame:
+        terms = some.select("query_id", F.explode(or_terms(F.col("query_text"))).alias("term"))
+        return index.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"))
 
+    return top(in_batches(queries, search), k, "query_id", F.desc("score"), F.col("id"))
 
-def search_texts(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lexical_search without an index: one pass over the texts that keeps only the queries' terms."""
-    terms = small(queries).select("query_id", F.explode(or_terms(F.col("query_text"))).alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    hits = words.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
-    return top(hits, k, "query_id", F.desc("score"), F.col("id"))
+
+def search_texts(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", overlap: bool = False, english: bool = False) -> DataFrame:
+    """lexical_search without an index, in one pass over the texts. queries: query_id, query_text.
+
+    With ``overlap`` hits have the share of the question's distinct tokens that the text holds. With ``english`` terms are
+    stemmed and stopwords dropped on both sides, see functions.stem, and the score is ten times the cover density.
+    """
+    from kelpie.functions.stem import lexemes
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def search(some: DataFrame) -> DataFrame:
+        asked = some.select("query_id", or_terms(F.col("query_text")).alias("terms"), F.array_distinct(tokens(F.col("query_text"))).alias("all")).toArrow()
+        terms, every = asked.column("terms").to_pylist(), asked.column("all").to_pylist()
+        if english:
+            terms = [list(dict.fromkeys(lexemes(ts))) for ts in terms]
+        return best_of(rows, asked.column("query_id").combine_chunks(), queries.schema["query_id"].dataType, lambda: _term_sums(terms, every if overlap else None, english), k, 1)
+
+    found = in_batches(queries, search).withColumnRenamed("extra", "overlap")
+    return top(found if overlap else found.drop("overlap"), k, "query_id", F.desc("score"), F.col("id"))
+
+
+def _incidence(terms: list[list[str]]) -> list[tuple[int, dict[str, int], np.ndarray]]:
+    """Per block of queries its first query, its terms by number, and (term, query) 1 where the query has the term."""
+    out = []
+    for at in range(0, len(terms), COLUMNS):
+        some = terms[at : at + COLUMNS]
+        number: dict[str, int] = {}
+        for t in (t for ts in some for t in ts):
+            number.setdefault(t, len(number))
+        has = np.zeros((len(number), len(some)), np.float32)
+        for j, ts in enumerate(some):
+            has[[number[t] for t in ts], j] = 1
+        out.append((at, number, has))
+    return out
+
+
+def _term_sums(terms: list[list[str]], every: list[list[str]] | None, english: bool) -> Scorer:
+    """Sums of the frequencies of the queries' terms, and the shares of all of their tokens that a text holds."""
+    from kelpie.functions.stem import counted_lexemes, plain_counts
+
+    sums = _incidence(terms)
+    shares = _incidence(every) if every is not None else [(at, {}, None) for at, _, _ in sums]
+    sizes = np.array([max(1, len(e)) for e in every], float) if every is not None else None
+
+    def filled(counts: list[Counter], number: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(counts), len(number)), np.float32)
+        for row, found in zip(out, counts):
+            for t in found.keys() & number.keys():
+                row[number[t]] = found[t]
+        return out
+
+    def score(batch):
+        ids, texts = _ids(batch.column(0)), batch.column(1).to_pylist()
+        for a in range(0, len(texts), ROWS // 4):
+            plain = [plain_counts(t) for t in texts[a : a + ROWS // 4]]
+            counts = [counted_lexemes(t) for t in texts[a : a + ROWS // 4]] if english else plain
+            for (at, number, has), (_, others, inside) in zip(sums, shares):
+                got = (filled(counts, number).astype(np.float64) @ has).T.astype(np.int64)
+                held = None if inside is None else (np.minimum(filled(plain, others), 1) @ inside).T / sizes[at : at + inside.shape[1], None]
+                yield at, ids[a : a + ROWS // 4], got, held
+
+    return score
 
 
 def fuse(lists: list[DataFrame], weights: list[float] | None = None, rrf_k: int = 60, id_col: str = "id") -> DataFrame:
@@ -108,12 +292,15 @@ def hybrid(dense: DataFrame, lexical: DataFrame, top_n: int, items: DataFrame |
     return out.withColumn("included", F.col("rank") <= (top_n or 8))
 
 
-def overlap_rerank(hits: DataFrame) -> DataFrame:
-    """Hits (query_id, id, rank, query_text, text) in the order of the share of question tokens they hold; ties keep their rank."""
+def with_overlap(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, id, rank, query_text, text) with overlap, for lists that do not come from search_texts."""
     q, p = F.array_distinct(tokens(F.col("query_text"))), F.array_distinct(tokens(F.col("text")))
-    share = F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, p)) / F.size(q))
-    out = hits.withColumn("overlap", share)
-    return out.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")))
+    return hits.withColumn("overlap", F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, p)) / F.size(q)))
+
+
+def overlap_rerank(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, id, rank, overlap) in the order of the share of question tokens they hold; ties keep their rank."""
+    return hits.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")))
 
 
 def pack_greedy(blocks: DataFrame, most: int) -> DataFrame:

@@ -103,9 +103,8 @@ def item_boost(spark, sf):
 ) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank)::INT AS new_rank FROM o"""
 )
 def overlap_rerank(spark, sf):
-    _, lexical = _lists(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return op.overlap_rerank(lexical.join(docs, "id").join(_texts(spark, sf), "query_id")).select("query_id", "id", "new_rank")
+    lexical = op.search_texts(_texts(spark, sf), table(spark, sf, "documents"), 50, overlap=True)
+    return op.overlap_rerank(lexical).select("query_id", "id", "new_rank")
 
 
 @query(
