@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.stats import percentile_capped
+from kelpie.functions.figures import values_match
+from kelpie.functions.stats import capped, confusion, percentile_capped, ranked, same_keys, wilson
 
 #: The gated metrics, and how far a metric may fall.
 GATED = ("overall_score", "numeric_accuracy", "recall@5", "mrr")
@@ -18,16 +19,18 @@ def summarise(results: DataFrame, keys: list[str]) -> DataFrame:
     numeric, narrative = F.col("kind") == "numeric", F.col("kind") == "narrative"
     ok = F.coalesce(F.col("passed"), F.lit(False))
     clean = numeric & ~F.coalesce(F.col("errored"), F.lit(False))
-    return results.groupBy(*keys).agg(
+    sums = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cases"),
         F.avg(F.when(numeric, ok.cast("double"))).alias("numeric_accuracy"),
         F.coalesce(F.avg(F.when(narrative, ok.cast("double"))), F.lit(0.0)).alias("narrative_pass_rate"),
         F.avg(ok.cast("double")).alias("overall_score"),
         F.coalesce(F.avg(F.when(clean, F.col("abstained").cast("double"))), F.lit(0.0)).alias("abstention_rate"),
         F.coalesce(F.avg(F.when(clean, (~ok & ~F.col("abstained")).cast("double"))), F.lit(0.0)).alias("hallucination_rate"),
-        F.median("latency_ms").alias("latency_p50"),
-        percentile_capped(F.col("latency_ms"), 0.95).alias("latency_p95"),
     )
+    # the median is the mean of the two middle entries
+    middle = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
+    out = same_keys(sums, ranked(results, keys, "latency_ms", **middle, latency_p95=capped(0.95)), keys)
+    return out.withColumn("latency_p50", (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 
 def gate(current: DataFrame, baseline: DataFrame, most: float = MAX_REGRESSION) -> DataFrame:
@@ -119,38 +122,152 @@ def token_cost(prompt: Column, completion: Column, in_price: Column, out_price:
 
 
 def fingerprint(cases: DataFrame, fields: list[str]) -> DataFrame:
-    """n_cases and a digest of the cases that no order changes: 16 hex digits of the sorted row digests' digest."""
-    rows = cases.select(F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256).alias("d"))
-    return rows.agg(F.count(F.lit(1)).alias("n_cases"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256), 1, 16).alias("sha256"))
+    """n_cases and a digest of the cases that no order changes: 16 hex digits over the sums of the rows' digests.
+
+    A row's digest covers its fields by length and text, nulls apart from empty ones; its two halves are added up over all
+    rows, so nothing is collected.
+    """
+    said = [F.coalesce(F.concat(F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string")), F.lit("-")) for f in sorted(fields)]
+    rows = cases.select(F.md5(F.concat_ws(";", *said)).alias("d"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    sums = rows.agg(F.count(F.lit(1)).alias("n_cases"), half(1).alias("a"), half(17).alias("b"))
+    return sums.select("n_cases", F.substring(F.md5(F.concat_ws("/", F.col("n_cases").cast("string"), "a", "b")), 1, 16).alias("digest"))
 
 
 def score_extraction(predicted: DataFrame, expected: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Per case tp, n_predicted, n_expected, precision, recall; both 1 where both sides are empty.
+    """Per case tp, n_predicted, n_expected, precision, recall and f1; precision and recall are 1 where both sides are empty.
 
-    predicted, expected: case_id, concept, fiscal_year, value, ord; the first value of a (concept, year) counts.
+    predicted, expected: case_id, concept, fiscal_year, value, ord; the first value of a (concept, year) counts. Cases in
+    arrays, with facts to leave out, are scored by extraction.scored.
     """
-    from kelpie.functions.figures import values_match
-
     key = ["case_id", "concept", "fiscal_year"]
     p = predicted.groupBy(*key).agg(F.min_by("value", "ord").alias("p"))
     e = expected.groupBy(*key).agg(F.min_by("value", "ord").alias("e"))
     both = p.join(e, key, "full_outer")
     hit = F.col("p").isNotNull() & F.col("e").isNotNull() & values_match(F.col("p"), F.col("e"), tolerance)
     out = both.groupBy("case_id").agg(F.count_if(hit).alias("tp"), F.count("p").alias("n_predicted"), F.count("e").alias("n_expected"))
+    return with_rates(out)
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """tp, n_predicted and n_expected with precision, recall, f1 and exact: whether all of both sides match."""
     empty = (F.col("n_predicted") == 0) & (F.col("n_expected") == 0)
     rate = lambda n: F.when(empty, 1.0).when(F.col(n) == 0, 0.0).otherwise(F.col("tp") / F.col(n))
-    return out.withColumn("precision", rate("n_predicted")).withColumn("recall", rate("n_expected"))
+    out = counts.withColumn("precision", rate("n_predicted")).withColumn("recall", rate("n_expected"))
+    both = F.col("precision") + F.col("recall")
+    out = out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+    return out.withColumn("exact", (F.col("tp") == F.col("n_expected")) & (F.col("tp") == F.col("n_predicted")))
+
+
+#: What adopting a judge asks for.
+MOST_FALSE_PASSES = 4
 
 
-def adoption(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Clauses of adopting a judge: no new miss, few false passes, kappa over the floor. Both: one row with tp, fp, fn, tn, kappa."""
-    b = baseline.select(F.col("fn").alias("base_fn"), F.col("kappa").alias("base_kappa"))
-    row = candidate.join(b)
-    clause = lambda name, ok: F.struct(F.lit(name).alias("clause"), ok.alias("passed"))
+def adoption(candidate: DataFrame, baseline: DataFrame, must_pass: tuple[str, ...] = (), must_fail: tuple[str, ...] = (), noise: float = 0.0) -> DataFrame:
+    """Clauses (clause, passed) of adopting a judge over its baseline, both given as verdicts: case_id, truth, said (null: an error).
+
+    Asked for are: no false fail that the baseline lacks, at most MOST_FALSE_PASSES false passes, the named cases passed
+    and failed, kappa at KAPPA_FLOOR or more, and a gain of kappa over the baseline's that beats the noise between replicates.
+    """
+    counts = lambda df: confusion(df, [], F.col("truth"), F.col("said"))
+    b = counts(baseline).select(F.col("kappa").alias("base_kappa"))
+    fails = lambda df: df.filter(F.col("truth") & ~F.col("said")).select("case_id")
+    new = fails(candidate).join(fails(baseline), "case_id", "left_anti").agg(F.count(F.lit(1)).alias("new_fails"))
+    named = candidate.agg(
+        F.count_if(F.col("case_id").isin(*must_pass) & F.coalesce(F.col("said"), F.lit(False))).alias("passed_named") if must_pass else F.lit(0).alias("passed_named"),
+        F.count_if(F.col("case_id").isin(*must_fail) & F.coalesce(~F.col("said"), F.lit(False))).alias("failed_named") if must_fail else F.lit(0).alias("failed_named"),
+    )
+    row = counts(candidate).crossJoin(b).crossJoin(new).crossJoin(named)  # a row each
+    clause = lambda name, ok: F.struct(F.lit(name).alias("clause"), F.coalesce(ok, F.lit(False)).alias("passed"))
     clauses = F.array(
-        clause("no new false fails", F.col("fn") <= F.col("base_fn")),
-        clause("at most four false passes", F.col("fp") <= 4),
+        clause("no new false fails", F.col("new_fails") == 0),
+        clause("few false passes", F.col("fp") <= MOST_FALSE_PASSES),
+        clause("named cases pass", F.col("passed_named") == len(must_pass)),
+        clause("named cases fail", F.col("failed_named") == len(must_fail)),
         clause("kappa floor", F.col("kappa") >= KAPPA_FLOOR),
-        clause("kappa gain", F.col("kappa") > F.col("base_kappa")),
+        clause("gain beats noise", F.col("kappa") - F.col("base_kappa") > noise),
     )
     return row.select(F.inline(clauses))
+
+
+# ---- infrastructure errors and case ids
+
+#: Fixed value: errors of the machinery, which say nothing about an answer.
+INFRASTRUCTURE = (
+    r"(?i)401 Unauthorized|403 Forbidden|429 Too Many Requests|invalid[_ ]api[_ ]key|authentication|insufficient_quota"
+    r"|Connection (?:refused|error|reset)|Timeout|Name or service not known|nodename nor servname|SSL"
+)
+
+
+def is_infrastructure(message: Column) -> Column:
+    """Whether an error is one of the machinery; no message is none."""
+    return F.coalesce(message.rlike(INFRASTRUCTURE), F.lit(False))
+
+
+def case_parts(case_id: Column) -> Column:
+    """struct(kind, ticker, subject, topic) of an id kind-TICKER-topic: subject is the ticker where it is one in capitals, else ``?``;
+    a part that is missing is ``unknown``."""
+    parts = F.split(case_id, "-", 3)
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit("unknown"))
+    subject = F.when((F.size(parts) >= 3) & F.get(parts, F.lit(1)).rlike("^[A-Z]+$"), F.get(parts, F.lit(1))).otherwise("?")
+    return F.struct(part(0).alias("kind"), part(1).alias("ticker"), subject.alias("subject"), part(2).alias("topic"))
+
+
+# ---- summaries of arms and loads
+
+
+def arm_summary(answers: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per arm of a router or a long-context run: accuracy with its Wilson interval, calls, tokens, cost and latency a question.
+
+    answers: arm, case_id, difficulty, passed, outcome, strong (answered by the strong model). calls: arm, case_id,
+    prompt_tokens, completion_tokens, cached_tokens, cost_usd, latency_ms; every call counts, repeated ones too.
+    """
+    asked = answers.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("passed")).alias("correct"),
+        F.avg(F.coalesce("strong", F.lit(False)).cast("int")).alias("strong_share"),
+        F.count_if(F.col("outcome") == "abstained").alias("abstained"),
+    )
+    spent = calls.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum("cached_tokens").alias("cached_tokens"), F.sum("cost_usd").alias("cost_usd"),
+    )
+    out = same_keys(same_keys(asked, spent, ["arm"]), ranked(calls, ["arm"], "latency_ms", latency_p50=capped(0.5), latency_p95=capped(0.95)), ["arm"])
+    return out.withColumns(
+        {
+            "accuracy": F.col("correct") / F.col("n"), "interval": wilson(F.col("correct").cast("double"), F.col("n").cast("double")),
+            "calls_per_question": F.col("calls") / F.col("n"), "cost_per_1k": F.col("cost_usd") / F.col("n") * 1000,
+            "cost_per_1k_correct": F.col("cost_usd") / F.nullif("correct", F.lit(0)) * 1000,
+            "cache_hit_rate": F.col("cached_tokens") / F.nullif("prompt_tokens", F.lit(0)),
+        }
+    )
+
+
+def accuracy_by(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Cases, passes and accuracy by arm and the given keys, such as the difficulty or whether the evidence was in the context."""
+    out = answers.groupBy("arm", *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("passed")).alias("correct"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("n"))
+
+
+def load_summary(requests: DataFrame, level: str = "level", usd_per_hour: float | None = None) -> DataFrame:
+    """Per load level of a load test (level, started, ms, ok): requests, failures, throughput and latency of the successes, and their cost per thousand."""
+    good = F.col("ok")
+    ended = F.col("started") + F.col("ms")
+    sums = requests.groupBy(level).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"),
+        ((F.max(ended) - F.min("started")) / 1000.0).alias("seconds"), F.max(F.when(good, F.col("ms"))).alias("most"), F.avg(F.when(good, F.col("ms"))).alias("mean"),
+    )
+    out = same_keys(sums, ranked(requests.filter(good), [level], "ms", p50=capped(0.5), p95=capped(0.95), p99=capped(0.99)), [level])
+    out = out.withColumn("per_second", F.col("succeeded") / F.nullif("seconds", F.lit(0.0)))
+    cost = F.lit(usd_per_hour) / 3600 / F.nullif("per_second", F.lit(0.0)) * 1000 if usd_per_hour else F.lit(None).cast("double")
+    return out.withColumn("usd_per_1k", cost)
+
+
+def figures_in_context(needles: Column, context: Column) -> Column:
+    """Whether a context prints every figure an answer needs. needles: for each figure the array of its printings.
+
+    Only printings of four digits or more, or with decimals, count; null where a figure has none, or none is needed.
+    """
+    telling = F.transform(needles, lambda ns: F.filter(ns, lambda n: (F.length(F.regexp_replace(n, "[^0-9]", "")) >= 4) | n.contains(".")))
+    shown = F.forall(telling, lambda ns: F.exists(ns, lambda n: F.contains(F.coalesce(context, F.lit("")), n)))
+    return F.when((F.size(telling) > 0) & F.forall(telling, lambda ns: F.size(ns) > 0), shown)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.figures import format_value, value_needles
+from kelpie.functions.stats import inner, ranked, same_keys
 
 from .sampling import shuffled
 
@@ -156,13 +157,12 @@ def break_even(prices: DataFrame) -> DataFrame:
 
 def window_audit(samples: DataFrame, keys: list[str], window: int) -> DataFrame:
     """Per strategy the token sizes of sampled chunks against a model's window: median, 95th percentile, most, shares over and unseen."""
-    from kelpie.functions.stats import percentile_inner
-
     t = F.col("tokens")
-    return samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), percentile_inner(t, 0.5).alias("median"), percentile_inner(t, 0.95).alias("p95"), F.max(t).alias("most"),
+    sums = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max(t).alias("most"),
         (F.count_if(t > window) / F.count(F.lit(1))).alias("over_share"), (F.sum(F.greatest(t - window, F.lit(0))) / F.sum(t)).alias("unseen_share"),
     )
+    return same_keys(sums, ranked(samples, keys, "tokens", median=inner(0.5), p95=inner(0.95)), keys)
 
 
 def compared(runs: DataFrame, paths: list[str], summary: str = "summary") -> DataFrame:

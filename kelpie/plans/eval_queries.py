@@ -278,24 +278,146 @@ def set_operations(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_SIDES = """f AS (SELECT o_orderkey % 100 AS case_id, o_orderpriority AS concept, year(o_orderdate)::INT AS fiscal_year, arg_min(round(o_totalprice)::BIGINT, o_orderkey) FILTER (WHERE o_orderstatus <> 'O') AS p,
+  arg_min(round(o_totalprice)::BIGINT * 1000, o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS e FROM orders GROUP BY ALL),
+m AS (SELECT *, coalesce(abs(p * 1000 - e) <= 0.005 * e OR abs(p - e) <= 0.005 * e OR abs(p * 1000000 - e) <= 0.005 * e OR abs(p * 1000000000 - e) <= 0.005 * e, false) AS hit FROM f WHERE p IS NOT NULL OR e IS NOT NULL),
+c AS (SELECT case_id, count(*) FILTER (WHERE hit) AS tp, count(p) AS n_predicted, count(e) AS n_expected FROM m GROUP BY 1)"""
+
+
 @query(
-    """WITH p AS (SELECT DISTINCT o_orderkey % 100 AS case_id, o_orderpriority AS concept, year(o_orderdate)::INT AS fiscal_year FROM orders WHERE o_orderstatus <> 'O'),
-e AS (SELECT DISTINCT o_orderkey % 100 AS case_id, o_orderpriority AS concept, year(o_orderdate)::INT AS fiscal_year FROM orders WHERE o_orderstatus <> 'F'),
-v AS (SELECT case_id, p.concept IS NOT NULL AS has_p, e.concept IS NOT NULL AS has_e FROM (SELECT *, concept AS c FROM p) p FULL JOIN e USING (case_id, concept, fiscal_year))
-SELECT case_id, count(*) FILTER (WHERE case_id IS NOT NULL AND true) AS n_keys FROM (SELECT case_id, concept, fiscal_year FROM p UNION SELECT case_id, concept, fiscal_year FROM e) GROUP BY 1"""
+    "WITH " + _SIDES + """ SELECT case_id, tp, n_predicted, n_expected, round(CASE WHEN n_predicted = 0 THEN 0 ELSE tp::DOUBLE / n_predicted END * 1000000)::BIGINT AS precision_ppm,
+  round(CASE WHEN n_expected = 0 THEN 0 ELSE tp::DOUBLE / n_expected END * 1000000)::BIGINT AS recall_ppm, round(2 * tp::DOUBLE / (n_predicted + n_expected) * 1000000)::BIGINT AS f1_ppm, tp = n_predicted AND tp = n_expected AS exact FROM c"""
 )
 def extraction_keys(spark, sf):
-    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("case_id"), F.col("o_orderpriority").alias("concept"), F.year("o_orderdate").alias("fiscal_year"), F.lit(1.0).alias("value"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
-    out = op.score_extraction(o.filter("o_orderstatus <> 'O'"), o.filter("o_orderstatus <> 'F'"))
-    return out.select("case_id", (F.col("n_predicted") + F.col("n_expected") - F.col("tp")).alias("n_keys"))
+    v = F.round("o_totalprice").cast("long")
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("case_id"), F.col("o_orderpriority").alias("concept"), F.year("o_orderdate").alias("fiscal_year"), v.alias("value"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    out = op.score_extraction(o.filter("o_orderstatus <> 'O'"), o.filter("o_orderstatus <> 'F'").withColumn("value", F.col("value") * 1000))
+    ppm = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(f"{c}_ppm")
+    return out.select("case_id", "tp", "n_predicted", "n_expected", ppm("precision"), ppm("recall"), ppm("f1"), "exact")
+
 
+_EDGES = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+_LANES = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT / 4294967296.0::DOUBLE AS u{i}" for i in range(4))
+_WEIGHT = lambda i: "(" + " + ".join(f"(u{i} >= {e}::DOUBLE)::INT" for e in _EDGES) + ")"
 
-@query()
+
+@query(
+    f"""WITH r AS (SELECT doc_id, (quality - toxic)::DOUBLE AS d FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (SELECT d, b, md5(doc_id::VARCHAR || ':' || b::VARCHAR || ':0') AS h FROM r, (SELECT unnest(range(50)) AS b)), u AS (SELECT d, b, {_LANES} FROM h),
+m AS ({' UNION ALL '.join(f"SELECT b * 4 + {i} AS draw, sum({_WEIGHT(i)} * d) / sum({_WEIGHT(i)}) AS m FROM u GROUP BY b" for i in range(4))}),
+s AS (SELECT list_sort(list(m)) AS ms FROM m)
+SELECT round((SELECT avg(d) FROM r) * 1000000)::BIGINT AS delta_ppm, (SELECT count(*) FROM r) AS n, round(ms[6] * 1000000)::BIGINT AS low_ppm, round(ms[195] * 1000000)::BIGINT AS high_ppm FROM s"""
+)
 def bootstrap_ci(spark, sf):
-    pairs = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    return stats.paired_bootstrap(pairs, "quality", "toxic", draws=200)
+    out = stats.paired_bootstrap(table(spark, sf, "labels"), "doc_id", "quality", "toxic", draws=200)
+    ppm = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(f"{c}_ppm")
+    return out.select(ppm("delta"), "n", ppm("low"), ppm("high"))
 
 
-@query()
+_SAID = lambda c: f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+@query(
+    f"""WITH d AS (SELECT md5({_SAID('item_id')} || ';' || {_SAID('text')}) AS d FROM benchmark),
+s AS (SELECT count(*) AS n_cases, coalesce(sum(('0x' || substr(d, 1, 15))::BIGINT), 0)::VARCHAR AS a, coalesce(sum(('0x' || substr(d, 17, 15))::BIGINT), 0)::VARCHAR AS b FROM d)
+SELECT n_cases, substr(md5(n_cases::VARCHAR || '/' || a || '/' || b), 1, 16) AS digest FROM s"""
+)
 def exam_fingerprint(spark, sf):
     return op.fingerprint(table(spark, sf, "benchmark"), ["item_id", "text"])
+
+
+_CALLS = """a AS (SELECT event_type AS arm, event_id AS case_id, value > 40 AS passed, user_id % 3 = 0 AS strong, CASE WHEN value < 5 THEN 'abstained' ELSE 'answered' END AS outcome, CASE WHEN user_id % 2 = 0 THEN 'single_hop' ELSE 'comparative' END AS difficulty FROM events),
+k AS (SELECT event_type AS arm, event_id AS case_id, user_id * 10 AS prompt_tokens, user_id AS completion_tokens, user_id * 3 AS cached_tokens, user_id * 0.5 AS cost_usd, floor(value * 100)::BIGINT AS latency_ms FROM events)"""
+
+
+def _arms(spark, sf):
+    e = _events(spark, sf)
+    answers = e.select(
+        F.col("event_type").alias("arm"), F.col("event_id").alias("case_id"), (F.col("value") > 40).alias("passed"), (F.col("user_id") % 3 == 0).alias("strong"),
+        F.when(F.col("value") < 5, "abstained").otherwise("answered").alias("outcome"), F.when(F.col("user_id") % 2 == 0, "single_hop").otherwise("comparative").alias("difficulty"),
+    )
+    u = F.col("user_id")
+    calls = e.select(F.col("event_type").alias("arm"), F.col("event_id").alias("case_id"), (u * 10).alias("prompt_tokens"), u.alias("completion_tokens"), (u * 3).alias("cached_tokens"), (u * 0.5).alias("cost_usd"), F.floor(F.col("value") * 100).alias("latency_ms"))
+    return answers, calls
+
+
+@query(
+    "WITH " + _CALLS + """, s AS (SELECT arm, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(cost_usd)::DOUBLE AS cost, list_sort(list(latency_ms)) AS xs FROM k GROUP BY 1),
+q AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE passed) AS correct, count(*) FILTER (WHERE outcome = 'abstained') AS abstained, avg(strong::INT) AS strong FROM a GROUP BY 1)
+SELECT arm, n, correct, abstained, calls, prompt_tokens, round(strong * 1000000)::BIGINT AS strong_ppm, round(cost / n * 1000)::BIGINT AS cost_per_1k, xs[least(calls - 1, floor(0.95 * calls)::BIGINT) + 1] AS latency_p95 FROM q JOIN s USING (arm)"""
+)
+def arm_summary(spark, sf):
+    out = op.arm_summary(*_arms(spark, sf))
+    return out.select("arm", "n", "correct", "abstained", "calls", "prompt_tokens", F.round(F.col("strong_share") * 1_000_000).cast("long").alias("strong_ppm"), F.round("cost_per_1k").cast("long").alias("cost_per_1k"), "latency_p95")
+
+
+@query("WITH " + _CALLS + " SELECT arm, difficulty, count(*) AS n, count(*) FILTER (WHERE passed) AS correct, floor(count(*) FILTER (WHERE passed)::DOUBLE / count(*) * 1000000)::BIGINT AS accuracy_ppm FROM a GROUP BY 1, 2")
+def arm_accuracy(spark, sf):
+    return op.accuracy_by(_arms(spark, sf)[0], ["difficulty"]).select("arm", "difficulty", "n", "correct", F.floor(F.col("accuracy") * 1_000_000).alias("accuracy_ppm"))
+
+
+@query(
+    """WITH r AS (SELECT user_id % 4 AS level, event_id * 10 AS started, floor(value * 100)::BIGINT AS ms, event_type <> 'error' AS ok FROM events),
+s AS (SELECT level, count(*) AS requests, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, max(started + ms) - min(started) AS span, max(ms) FILTER (WHERE ok) AS most, list_sort(list(ms) FILTER (WHERE ok)) AS xs FROM r GROUP BY 1)
+SELECT level, requests, succeeded, failed, most, xs[least(succeeded - 1, floor(0.5 * succeeded)::BIGINT) + 1] AS p50, xs[least(succeeded - 1, floor(0.99 * succeeded)::BIGINT) + 1] AS p99,
+  floor(succeeded / (span / 1000.0::DOUBLE) * 1000)::BIGINT AS per_1000_s FROM s"""
+)
+def load_summary(spark, sf):
+    rows = _events(spark, sf).select((F.col("user_id") % 4).alias("level"), (F.col("event_id") * 10).alias("started"), F.floor(F.col("value") * 100).alias("ms"), (F.col("event_type") != "error").alias("ok"))
+    out = op.load_summary(rows, usd_per_hour=1.2)
+    return out.select("level", "requests", "succeeded", "failed", "most", "p50", "p99", F.floor(F.col("per_second") * 1000).alias("per_1000_s"))
+
+
+@query(
+    """WITH v AS (SELECT event_id AS case_id, user_id % 2 = 0 AS truth, CASE WHEN event_type = 'error' THEN NULL ELSE value > 50 END AS cand, value > 30 AS base FROM events),
+m AS (SELECT count(*) FILTER (WHERE truth AND cand) AS tp, count(*) FILTER (WHERE NOT truth AND cand) AS fp, count(*) FILTER (WHERE truth AND NOT cand) AS fn, count(*) FILTER (WHERE NOT truth AND NOT cand) AS tn,
+  count(*) FILTER (WHERE truth AND base) AS btp, count(*) FILTER (WHERE NOT truth AND base) AS bfp, count(*) FILTER (WHERE truth AND NOT base) AS bfn, count(*) FILTER (WHERE NOT truth AND NOT base) AS btn,
+  count(*) FILTER (WHERE truth AND NOT cand AND base) AS fresh, count(*) FILTER (WHERE case_id IN (3, 4) AND cand) AS named, count(*) FILTER (WHERE case_id = 5 AND NOT cand) AS unnamed FROM v),
+k AS (SELECT *, ((tp + tn) / (tp + fp + fn + tn)::DOUBLE - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (tp + fp + fn + tn)::DOUBLE ** 2) / (1 - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (tp + fp + fn + tn)::DOUBLE ** 2) AS kappa,
+  ((btp + btn) / (btp + bfp + bfn + btn)::DOUBLE - ((btp + bfp) * (btp + bfn) + (btn + bfn) * (btn + bfp)) / (btp + bfp + bfn + btn)::DOUBLE ** 2) / (1 - ((btp + bfp) * (btp + bfn) + (btn + bfn) * (btn + bfp)) / (btp + bfp + bfn + btn)::DOUBLE ** 2) AS bkappa FROM m)
+SELECT 'no new false fails' AS clause, fresh = 0 AS passed FROM k UNION ALL SELECT 'few false passes', fp <= 4 FROM k UNION ALL SELECT 'named cases pass', named = 2 FROM k UNION ALL SELECT 'named cases fail', unnamed = 1 FROM k
+UNION ALL SELECT 'kappa floor', kappa >= 0.6 FROM k UNION ALL SELECT 'gain beats noise', kappa - bkappa > 0.01 FROM k"""
+)
+def judge_adoption(spark, sf):
+    e = _events(spark, sf).select(F.col("event_id").alias("case_id"), (F.col("user_id") % 2 == 0).alias("truth"), "event_type", "value")
+    cand = e.select("case_id", "truth", F.when(F.col("event_type") != "error", F.col("value") > 50).alias("said"))
+    return op.adoption(cand, e.select("case_id", "truth", (F.col("value") > 30).alias("said")), (3, 4), (5,), 0.01)
+
+
+@query("SELECT event_id, regexp_matches(m, '(?i)429 Too Many Requests|Timeout') AS infra FROM (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'HTTP 429 too many requests' WHEN 1 THEN 'read timeout' WHEN 2 THEN 'wrong answer' END AS m FROM events) WHERE m IS NOT NULL UNION ALL SELECT event_id, false FROM events WHERE user_id % 4 = 3")
+def infra_errors(spark, sf):
+    u = F.col("user_id") % 4
+    said = F.when(u == 0, "HTTP 429 too many requests").when(u == 1, "read timeout").when(u == 2, "wrong answer")
+    return _events(spark, sf).select("event_id", op.is_infrastructure(said).alias("infra"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'num-AB-Net-' || c_custkey WHEN 1 THEN 'nar-a1-x' ELSE 'odd' END AS id FROM customer), p AS (SELECT *, string_split(id, '-') AS ps FROM c)
+SELECT c_custkey, ps[1] AS kind, coalesce(ps[2], 'unknown') AS ticker, CASE WHEN len(ps) >= 3 AND regexp_full_match(ps[2], '[A-Z]+') THEN ps[2] ELSE '?' END AS subject, CASE WHEN len(ps) >= 3 THEN array_to_string(ps[3:], '-') ELSE 'unknown' END AS topic FROM p"""
+)
+def case_ids(spark, sf):
+    k = F.col("c_custkey")
+    said = F.when(k % 3 == 0, F.concat(F.lit("num-AB-Net-"), k.cast("string"))).when(k % 3 == 1, "nar-a1-x").otherwise("odd")
+    return table(spark, sf, "customer").select("c_custkey", op.case_parts(said).alias("p")).select("c_custkey", "p.*")
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey, round(o_totalprice)::BIGINT AS v FROM orders)
+SELECT o_orderkey, CASE WHEN v >= 1000 THEN o_orderkey % 2 = 0 END AS shown FROM v"""
+)
+def figures_in_context(spark, sf):
+    v = F.round("o_totalprice").cast("long")
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("in all "), F.format_number(v, 0))).otherwise("nothing of the kind")
+    needles = F.array(F.array(F.format_number(v, 0), F.lit("12")))
+    return table(spark, sf, "orders").select("o_orderkey", op.figures_in_context(needles, said).alias("shown"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN user_id * 15 WHEN 'click' THEN user_id * 250 ELSE 0 END AS cent_millionths FROM events")
+def token_costs(spark, sf):
+    price = F.when(F.col("event_type") == "view", 0.15).when(F.col("event_type") == "click", 2.5).otherwise(0.0)
+    return _events(spark, sf).select("event_id", F.round(op.token_cost(F.col("user_id"), F.lit(0), price, F.lit(0.0)) * 100_000_000).cast("long").alias("cent_millionths"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 1")
+def latest_run(spark, sf):
+    return op.latest(_events(spark, sf), "ts", "event_id").select("event_id", "event_type")

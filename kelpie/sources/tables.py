@@ -33,7 +33,7 @@ def filing_rows(raw: DataFrame, forms: list[str], newest: int | None = None) ->
     rows = raw.select("cik", "page", block.alias("b")).select("cik", "page", F.posexplode(zipped).alias("pos", "r"))
     rows = rows.filter(F.col("r.form").isin(*forms)).select(
         "cik", "page", "pos", F.col("r.accessionNumber").alias("accession"), F.col("r.form").alias("form"),
-        F.nullif("r.filingDate", F.lit("")).cast("date").alias("filing_date"), F.nullif("r.reportDate", F.lit("")).cast("date").alias("period_end"),
+        F.col("r.filingDate").try_cast("date").alias("filing_date"), F.col("r.reportDate").try_cast("date").alias("period_end"),
         F.col("r.primaryDocument").alias("primary_doc"),
     )
     if newest is None:
@@ -61,11 +61,11 @@ def fixture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     default = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
     facts = whole.select(F.inline("facts")).select(
         "cik", default("taxonomy", "us-gaap"), "tag", default("unit", "USD"), "fiscal_year", default("fiscal_period", "FY"),
-        F.col("period_start").cast("date").alias("period_start"), F.col("period_end").cast("date").alias("period_end"), "value", "accession", default("form", "10-K"),
+        F.col("period_start").try_cast("date").alias("period_start"), F.col("period_end").try_cast("date").alias("period_end"), "value", "accession", default("form", "10-K"),
     )
     return {
         "companies": whole.select(F.inline("companies")),
-        "filings": filings.drop("sections").withColumns({c: F.col(c).cast("date") for c in ("filing_date", "period_end")}),
+        "filings": filings.drop("sections").withColumns({c: F.col(c).try_cast("date") for c in ("filing_date", "period_end")}),
         "sections": sections.select("accession", "ordinal", "s.item", "s.title", "s.body", F.length("s.body").alias("char_len")),
         "facts": facts,
     }

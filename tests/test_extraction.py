@@ -74,3 +74,44 @@ def test_probes_come_from_the_reference(spark):
     row = probes.probed(df, {"d": r"\bDOJ\b"}).first()["facts"][0]
     assert row["present"] and "DOJ" in row["excerpt"]
     assert probes.parse_spec("a=x+; b.c ;") == {"a": "x+", "b.c": r"b\.c"}
+
+
+def test_printed_forms_and_their_guards():
+    assert ex.find("grew 577% in all", 577e6, "net income") is None and not ex.printed("grew 577% in all", 577.0)
+    assert ex.find("it was 577 in all", 577e6, "net income") == (7, 10)
+    assert ex.word_forms(5.5e6, "net income") == [] and ex.word_forms(1e7, "net income") == [("10.0", "million")]
+    assert ex.word_forms(1e10, "net income") == [("10.0", "billion"), ("10.00", "billion")] and ex.word_forms(5e9, ex.SHARES) == []
+    assert ex.table_forms(606_200_000, "net income") == ["606,200,000", "606,200"] and ex.table_forms(99e6, "net income") == ["99,000,000", "99,000"]
+    assert ex.table_forms(6.13, ex.PER_SHARE) == ["6.13"] and ex.table_forms(0.001, ex.PER_SHARE) == []
+    assert ex.find("$1.2 billion above, 1,200,000,000 below", 1.2e9, "net income") == (20, 33)  # table forms come first
+    assert ex.printed("8.28 and", 8.28e6) and not ex.printed("only 8 of", 8.28e6) and ex.printed("only 8 of", 8e6)
+
+
+def test_scores_leave_out_what_cannot_be_checked(spark):
+    ddl = f"case_id int, passage string, predicted array<{FACT}>, expected array<{FACT}>, invalid int, ignore array<{FACT}>, verifiable array<struct<concept:string,fiscal_year:int>>"
+    f = lambda c, y, v: (c, y, float(v))
+    rows = [
+        (1, "p", [f("a", 1, 5), f("b", 1, 7), f("c", 1, 9)], [f("a", 1, 5), f("d", 1, 1)], 1, [f("b", 1, 7)], [("a", 1), ("b", 1), ("d", 1)]),
+        (2, "p", [], [], 0, None, None),
+        (3, "p", [f("a", 1, 5)], [], 0, [], None),
+    ]
+    got = {r["case_id"]: r for r in ex.scored(spark.createDataFrame(rows, ddl)).collect()}
+    assert tuple(got[1])[1:7] == (1, 2, 2, 1, 1, 1) and (got[1]["precision"], got[1]["recall"], got[1]["f1"]) == (0.5, 0.5, 0.5)
+    assert got[2]["precision"] == got[2]["recall"] == got[2]["f1"] == 1.0 and got[2]["exact"] and got[3]["precision"] == 0.0 and got[3]["recall"] == 0.0
+
+
+def test_errors_have_causes(spark):
+    passage = "Total assets | 352 | 700\nNet income was $6.9 billion in segment A.\nSales | 240"
+    rows = [
+        (1, passage, [("net income", 2023, 6_900_000_000.0), ("total revenue", 2023, 24e8), ("total assets", 2023, 700e6)], [("net income", 2023, 6_866_000_000.0), ("total assets", 2023, 352e6), ("gross profit", 2022, 700e6)], 0),
+    ]
+    cases = spark.createDataFrame(rows, f"case_id int, passage string, predicted array<{FACT}>, expected array<{FACT}>, invalid int")
+    items = ex.caused(ex.error_items(cases))
+    got = {(r["kind"], r["concept"]): (r["cause"], r["predicted"], r["label"]) for r in items.collect()}
+    assert got == {
+        ("wrong_value", "total assets"): ("segment", 700e6, 352e6), ("missed", "total assets"): ("label_no_year", 700e6, 352e6), ("not_in_passage", "total revenue"): ("scale", 24e8, None),
+        ("missed", "gross profit"): ("label_no_year", None, 700e6),
+    }
+    totals = spark.createDataFrame([(1, 3, 3)], "tp int, n_predicted int, n_expected int")
+    whole = ex.cause_summary(items, totals, []).first()
+    assert (whole["items"], whole["cases"], whole["f1_if_fixed"]) == (4, 1, 1.0)

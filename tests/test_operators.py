@@ -219,3 +219,84 @@ def test_rate_limit(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 2.0), ("a", 61.0), ("b", 0.0)], "ip string, t double")
     out = {(r["ip"], r["t"]): r["allowed"] for r in incremental.rate_limited(df, "ip", "t", 2).collect()}
     assert out == {("a", 0.0): True, ("a", 1.0): True, ("a", 2.0): False, ("a", 61.0): True, ("b", 0.0): True}
+
+
+# ---- searches
+
+
+def test_dense_search_is_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vs = {f"v{i:03d}": [float(x) for x in rng.integers(-3, 4, 3 if i % 4 else 2)] for i in range(150)}
+    vs |= {"nan": [float("nan"), 1.0, 1.0], "zero": [0.0, 0.0, 0.0], "none": None, "null": [None, 1.0, 2.0]}
+    df = spark.createDataFrame(list(vs.items()), "vec_id string, embedding array<float>").repartition(3)
+    asked = [(i, [float(x) for x in rng.integers(-3, 4, 2 + i % 2)]) for i in range(9)]
+    want = {}
+    for q, v in asked:
+        rows = []
+        for name, x in vs.items():
+            if x is not None and len(x) == len(v) and None not in x and not any(np.isnan(x)):
+                norm = np.linalg.norm(x) * np.linalg.norm(v)
+                cos = float(np.dot(x, v)) / norm if norm else 0.0
+                rows.append((-int(np.sign(cos) * np.floor(abs(cos) * 1e6 + 0.5)), name))
+        want[q] = [n for _, n in sorted(rows)[:7]]
+    for most in (4096, 4):  # in one pass, and in several
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        got = {}
+        for r in retrieval.dense_search(spark.createDataFrame(asked, "query_id long, query_vector array<double>"), df, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == want
+
+
+def test_text_search_is_index_search(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, int(rng.integers(0, 40))))) for i in range(80)] + [(99, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(6)] + [(9, "")], "query_id long, query_text string")
+    index = retrieval.lexical_search(asked, retrieval.postings(docs), 5)
+    texts = retrieval.search_texts(asked, docs, 5, overlap=True)
+    key = ["query_id", "id", "score", "rank"]
+    assert sorted(map(tuple, index.select(key).collect())) == sorted(map(tuple, texts.select(key).collect()))
+    joined = texts.drop("overlap").join(docs.withColumnRenamed("doc_id", "id"), "id").join(asked, "query_id")
+    slow = {(r["query_id"], r["id"]): r["overlap"] for r in retrieval.with_overlap(joined).collect()}
+    assert slow == {(r["query_id"], r["id"]): pytest.approx(r["overlap"]) for r in texts.collect()}
+
+
+def test_english_search_is_cover_density(spark):
+    from kelpie.functions import stem
+
+    texts = {1: "Revenues rose. The revenue of operations was rising", 2: "operating revenue", 3: "the of and", 4: None, 5: "net " * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "what was the operating revenue"), (2, "net")], "query_id long, query_text string")
+    got = {(r["query_id"], r["id"]): r["score"] for r in retrieval.search_texts(asked, docs, 5, english=True).collect()}
+    assert got == {(1, 1): 3, (1, 2): 2, (2, 5): 255}
+    assert all(s == round(10 * stem.cover_density(texts[i], ["what", "was", "the", "operating", "revenue"] if q == 1 else ["net"])) for (q, i), s in got.items())
+
+
+@pytest.mark.parametrize("word, root", [p.split(":") for p in "consistency:consist conspirators:conspir knives:knive generation:generat hopping:hop hoping:hope agreed:agre national:nation cries:cri ties:tie luxuriating:luxuri say:say proceeding:proceed possibly:possibl analogously:analog".split()])
+def test_stems(word, root):
+    from kelpie.functions.stem import stem
+
+    assert stem(word) == root
+
+
+def test_ranked_values_of_groups(spark):
+    rows = [(g, int(v)) for g in ("a", None) for v in np.random.default_rng(3).integers(0, 9, 37)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r["g"]: (r["p95"], r["mid"]) for r in stats.ranked(df, ["g"], "v", p95=stats.capped(0.95), mid=stats.inner(0.5)).collect()}
+    xs = sorted(v for g, v in rows if g == "a")
+    assert got["a"] == got[None] == (xs[min(36, int(0.95 * 37))], xs[18]) and "b" not in got
+    joined = stats.same_keys(df.groupBy("g").count(), stats.ranked(df, ["g"], "v", p=stats.capped(0.5)), ["g"]).collect()
+    assert len(joined) == 3 and {r["g"] for r in joined if r["p"] is not None} == {"a", None}
+
+
+def test_bootstrap_draws_equal_values_apart(spark):
+    same = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "case_id long, a int, b int")
+    row = stats.paired_bootstrap(same, "case_id", "a", "b", 400).first()
+    assert row["n"] == 40 and row["delta"] == 0.5 and 0.3 < row["low"] < 0.45 and 0.55 < row["high"] < 0.7
+
+
+def test_tables_within_cells_and_left_out_ends():
+    page = "<table><tr><td>a<table><tr><td>b</td><td>c</td></tr></table>d</td><td>e</td></tr></table>f"
+    assert html.to_text(page) == "a b | c d | e\nf"
+    assert html.to_text("<table><tr><td>a<td>b<tr><th>c<td> </table>after<p>x<br/>y<td>z") == "a | b\nc\nafter\nx\ny\nz"
+    assert html.to_text("<head><style>s</style></head><p>a&nbsp;b<script>x<p>y</script> c") == "a b c" and html.to_text("") == ""

@@ -72,3 +72,9 @@ def test_event_windows_stream_as_they_batch(spark, tmp_path):
     query = incremental.event_counts(stream, "ts", "event_type", "value").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").count() == batch
+
+
+def test_malformed_dates_are_null(spark):
+    block = json.dumps({"accessionNumber": ["a", "b"], "form": ["10-K", "10-K"], "filingDate": ["n/a", "2024-02-01"], "reportDate": ["2023-13-40", ""], "primaryDocument": ["x", "y"]})
+    got = tables.filing_rows(spark.createDataFrame([("1", 0, block)], "cik string, page int, json string"), ["10-K"]).orderBy("pos").collect()
+    assert [(r["filing_date"] and r["filing_date"].year, r["period_end"]) for r in got] == [(None, None), (2024, None)]
