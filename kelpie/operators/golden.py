@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.figures import format_value, value_needles
+from kelpie.functions.figures import exact_needles, format_value, value_needles
 from kelpie.functions.stats import inner, ranked, same_keys
 
 from .sampling import shuffled
@@ -81,19 +81,105 @@ def controls(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.inline(made)).filter(F.col("answer").isNotNull())
 
 
-def corpus_checks(chunks: DataFrame, filings: DataFrame) -> DataFrame:
-    """(filing_id, name, passed): every chunk embedded, none blank, and half to twice as many as the company's filing of the year before.
+def _check(name: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.alias("detail"))
 
-    chunks: filing_id, body, embedded (boolean). filings: filing_id, cik, fiscal_year.
+
+#: The share of a filing's figures that must be long enough to look for, and how far the number of chunks may move.
+CHECKABLE, FEWEST, MOST = 0.75, 0.5, 2.0
+
+
+def filing_checks(filings: DataFrame, facts: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(filing_id, name, passed, detail) for every new filing: its year is known, no core fact of the year before is lost, its
+    figures are in its text, its chunks are embedded and none is blank, and they are half to twice as many as the year before.
+
+    filings: filing_id, cik, fiscal_year, and is_new (others are only compared with). facts: cik, fiscal_year, tag, value.
+    sections: filing_id, body. chunks: filing_id, body, embedded (boolean).
     """
-    shape = chunks.groupBy("filing_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("body") == "").alias("blank"), F.count_if(~F.col("embedded")).alias("bare"))
-    rows = filings.join(shape, "filing_id", "left").fillna(0, ["n", "blank", "bare"])
-    w = Window.partitionBy("cik").orderBy("fiscal_year")
-    before = F.when(F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1, F.lag("n").over(w))
-    check = lambda name, ok: F.struct(F.lit(name).alias("name"), ok.alias("passed"))
-    named = rows.withColumn("before", before)
-    ratio_ok = F.col("before").isNull() | (F.col("before") == 0) | (F.col("n") / F.col("before")).between(0.5, 2.0)
-    return named.select("filing_id", F.inline(F.array(check("has chunks", F.col("n") > 0), check("no blank chunk", F.col("blank") == 0), check("all embedded", F.col("bare") == 0), check("chunk count", ratio_ok))))
+    new = filings.filter("is_new")
+    known = new.filter("fiscal_year IS NOT NULL")
+    years = known.select("filing_id", "cik", "fiscal_year")
+    core = facts.select("cik", "fiscal_year", "tag", "value")
+    mine = years.join(core, ["cik", "fiscal_year"]).select("filing_id", "tag", "value")
+    last = years.withColumn("fiscal_year", F.col("fiscal_year") - 1).join(core, ["cik", "fiscal_year"]).select("filing_id", "tag").distinct()
+    lost = last.join(mine.select("filing_id", "tag"), ["filing_id", "tag"], "left_anti").groupBy("filing_id").agg(F.sort_array(F.collect_set("tag")).alias("lost"))
+
+    # a figure is looked for in each section; it is met if any section prints one of its needles
+    needles = mine.withColumn("needles", exact_needles(F.col("value").cast("double"))).withColumn("key", F.concat_ws("|", "tag", F.col("value").cast("string")))
+    at = needles.filter(F.size("needles") > 0).join(sections.select("filing_id", "body"), "filing_id")
+    met = at.filter(F.exists("needles", lambda n: F.contains(F.coalesce("body", F.lit("")), n))).select("filing_id", "key").distinct().withColumn("met", F.lit(1))
+    figures = needles.join(met, ["filing_id", "key"], "left").groupBy("filing_id").agg(
+        F.count(F.lit(1)).alias("n_facts"), F.count_if(F.size("needles") > 0).alias("checkable"), F.count("met").alias("found")
+    )
+    shape = chunks.groupBy("filing_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("body") == "").alias("blank"), F.count_if(F.col("embedded")).alias("embedded"))
+    before = filings.join(shape, "filing_id").groupBy("cik", (F.col("fiscal_year") + 1).alias("fiscal_year")).agg(F.sum("n").alias("before"))
+    rows = known.join(lost, "filing_id", "left").join(figures, "filing_id", "left").join(shape, "filing_id", "left").join(before, ["cik", "fiscal_year"], "left")
+    rows = rows.fillna(0, ["n_facts", "checkable", "found", "n", "blank", "embedded", "before"])
+    c = F.col
+    said = lambda pattern, *cols: F.format_string(pattern, *cols)
+    checks = F.array(
+        _check("same core facts as the year before", (c("n_facts") > 0) & c("lost").isNull(), F.concat_ws(", ", F.coalesce("lost", F.array().cast("array<string>")))),
+        _check("figures are in the text", (c("n_facts") > 0) & (c("checkable") >= CHECKABLE * c("n_facts")) & (c("found") == c("checkable")), said("%d of %d found, %d facts", c("found"), c("checkable"), c("n_facts"))),
+        _check("chunks embedded", (c("n") > 0) & (c("embedded") == c("n")) & (c("blank") == 0), said("%d chunks, %d embedded, %d blank", c("n"), c("embedded"), c("blank"))),
+        _check("chunk count in line with the year before", (c("n") / F.nullif("before", F.lit(0))).between(FEWEST, MOST), said("%d and %d", c("n"), c("before"))),
+    )
+    named = rows.select("filing_id", c("before").alias("_before"), F.inline(checks)).filter((c("name") != "chunk count in line with the year before") | (c("_before") > 0)).drop("_before")
+    unknown = new.filter("fiscal_year IS NULL").select("filing_id", F.inline(F.array(_check("fiscal year known", F.lit(False), F.lit("no period end")))))
+    return named.unionByName(unknown)
+
+
+def fact_checks(facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """(cik, name, passed, detail) of every company's whole history: one value a tag and year, periods that agree with the filing
+    index, year labels that advance with period ends, no year skipped; detail is the number of offenders."""
+    from . import facts as op
+
+    companies = facts.select("cik").distinct()
+    offenders = {
+        "one value per tag and year": op.conflicts(facts, ["cik", "tag", "fiscal_year"]),
+        "fact periods agree with the filing index": op.period_drift(facts, filings.filter("period_end IS NOT NULL")),
+        "year labels advance with period ends": op.misdated(facts),
+        "no fiscal year skipped": op.missing_years(facts),
+    }
+    out = companies
+    for i, bad in enumerate(offenders.values()):
+        out = out.join(bad.groupBy("cik").agg(F.count(F.lit(1)).alias(f"n{i}")), "cik", "left")
+    n = lambda i: F.coalesce(F.col(f"n{i}"), F.lit(0))
+    return out.select("cik", F.inline(F.array(*[_check(name, n(i) == 0, n(i).cast("string")) for i, name in enumerate(offenders)])))
+
+
+def retrieval_check(before: DataFrame, after: DataFrame, relevant: DataFrame, most: float = 0.03) -> DataFrame:
+    """One row: whether old questions find as before. before, after: query_id, id, rank. hit@5 may fall by ``most``; changed counts queries whose lists differ."""
+    lists = lambda df, name: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias(name))
+    wanted = relevant.groupBy("query_id").agg(F.collect_set("id").alias("wanted"))
+    rows = lists(before, "was").join(lists(after, "now"), "query_id", "full_outer").join(wanted, "query_id", "left")
+    hit = lambda c: F.avg(F.when(F.col("wanted").isNotNull(), F.arrays_overlap(F.slice(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), 1, 5), "wanted").cast("int")))
+    out = rows.agg(F.count(F.lit(1)).alias("questions"), F.count_if(~F.col("was").eqNullSafe(F.col("now"))).alias("changed"), hit("was").alias("hit_before"), hit("now").alias("hit_after"))
+    return out.withColumn("passed", F.coalesce(F.col("hit_after") >= F.col("hit_before") - most, F.lit(True)))
+
+
+def answer_check(results: DataFrame, reference: float) -> DataFrame:
+    """One row: whether new questions are answered as well as a reference accuracy, less two standard errors at their number. results: passed."""
+    from kelpie.functions.stats import accuracy_floor
+
+    out = results.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("passed", F.lit(False)).cast("int")).alias("accuracy"))
+    return out.withColumn("floor", accuracy_floor(F.lit(float(reference)), F.col("n"))).withColumn("passed", F.coalesce(F.col("accuracy") >= F.col("floor"), F.lit(False)))
+
+
+def latest_filings(filings: DataFrame, form: str = "10-K") -> DataFrame:
+    """Each company's newest filing of a form: by fiscal year, then filing date; filings without a year are passed by."""
+    some = filings.filter((F.col("form") == form) & F.col("fiscal_year").isNotNull())
+    order = F.struct("fiscal_year", F.coalesce("filing_date", F.lit("0001-01-01").cast("date")), "accession")
+    return some.groupBy("cik").agg(F.max_by(F.struct(*[c for c in some.columns if c != "cik"]), order).alias("f")).select("cik", "f.*")
+
+
+def narrative_sources(plan: DataFrame, filings: DataFrame, sections: DataFrame) -> DataFrame:
+    """For every planned question (case_id, cik, item) its company's newest filing, that Item's sections in order, and the Items there are."""
+    newest = latest_filings(filings).select("cik", F.col("id").alias("filing_id"), "accession", "fiscal_year")
+    items = sections.select("filing_id", F.upper(F.trim("item")).alias("has"), "ordinal", "title", "char_len")
+    there = items.groupBy("filing_id").agg(F.sort_array(F.collect_set("has")).alias("available"))
+    wanted = items.groupBy("filing_id", "has").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "char_len"))).alias("sections"), F.sum("char_len").alias("chars"))
+    rows = plan.join(newest, "cik", "left").join(there, "filing_id", "left").withColumn("has", F.upper(F.trim("item")))
+    return rows.join(wanted, ["filing_id", "has"], "left").drop("has")
 
 
 def first_of_filing(cases: DataFrame, key: list[str], order: str) -> DataFrame:
