@@ -29,18 +29,18 @@ def golden_numeric(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT item_id AS case_id, regexp_extract(text, '[A-Za-z]{9,}') AS word FROM benchmark), n AS (SELECT case_id, word FROM c WHERE word <> ''),
-h AS (SELECT case_id, doc_id AS id, row_number() OVER (PARTITION BY case_id ORDER BY doc_id)::INT AS rank FROM n JOIN documents ON contains(text, word))
-SELECT case_id, id, rank FROM h WHERE rank <= 5"""
+    """WITH o AS (SELECT o_orderkey, o_custkey % 50 AS co, year(o_orderdate)::INT AS y, o_totalprice AS v FROM orders), c AS (SELECT * FROM o WHERE o_orderkey % 10 = 0),
+n AS (SELECT o_orderkey AS case_id, co, y, 0 AS place, format('{:,.0f}', round_even(v, 0)) AS needle FROM c WHERE v >= 1000 UNION ALL SELECT o_orderkey, co, y, 1, format('{:,.0f}', round_even(v / 1000, 0)) FROM c WHERE v >= 1000),
+f AS (SELECT * FROM n WHERE length(regexp_replace(needle, '[^0-9]', '', 'g')) >= 3),
+h AS (SELECT case_id, o_orderkey AS id, place FROM f JOIN (SELECT *, 'Net ' || format('{:,.0f}', round_even(v, 0)) || ' and ' || (o_orderkey * 7)::VARCHAR AS body FROM o) USING (co, y) WHERE contains(body, needle)),
+l AS (SELECT *, min(place) OVER (PARTITION BY case_id) AS least FROM h), r AS (SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY id)::INT AS rank FROM l WHERE place = least)
+SELECT case_id, id, rank FROM r WHERE rank <= 5"""
 )
 def needle_evidence(spark, sf):
-    from pyspark.sql import Window
-
-    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.regexp_extract("text", "[A-Za-z]{9,}", 0).alias("word")).filter("word <> ''")
-    from kelpie.operators.retrieval import small
-
-    hits = table(spark, sf, "documents").join(small(words), F.contains("text", "word")).select("case_id", F.col("doc_id").alias("id"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("id"))).filter("rank <= 5")
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("string").alias("ticker"), F.year("o_orderdate").alias("fiscal_year"), "o_totalprice")
+    cases = o.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("case_id"), "ticker", "fiscal_year", F.col("o_totalprice").alias("expected_value"), F.lit("USD").alias("unit"))
+    body = F.concat(F.lit("Net "), F.format_number("o_totalprice", 0), F.lit(" and "), (F.col("o_orderkey") * 7).cast("string"))
+    return op.linked_evidence(cases, o.select(F.col("o_orderkey").alias("id"), "ticker", "fiscal_year", body.alias("body")))
 
 
 @query(
@@ -56,25 +56,44 @@ def negative_sample(spark, sf):
     return op.with_negatives(some, rows.filter("c_mktsegment <> 'BUILDING'").drop("c_mktsegment"), "company", "key", "has_figure")
 
 
+_FIGURE = r"regexp_extract(text, '[0-9][0-9,]*(?:\.[0-9]+)?')"
+_SENTENCES = r"regexp_split_to_array(regexp_replace(text, '([.!?])[\s]+', '\1' || chr(1), 'g'), chr(1))"
+
+
 @query(
-    """SELECT item_id AS pair_id, 'hedge' AS control, length('It may be that ' || text)::INT AS chars FROM benchmark UNION ALL SELECT item_id, 'fabrication', length(text || ' It also announced a merger.')::INT FROM benchmark
-UNION ALL SELECT item_id, 'as is', length(text)::INT FROM benchmark"""
+    f"""WITH p AS (SELECT doc_id AS pair_id, text, {_FIGURE} AS f, {_SENTENCES} AS ss FROM documents),
+c AS (SELECT pair_id, 'as is' AS control, text AS answer FROM p UNION ALL SELECT pair_id, 'hedge', 'It may be that ' || text FROM p UNION ALL SELECT pair_id, 'fabrication', text || ' It also announced a merger.' FROM p
+UNION ALL SELECT pair_id, 'omission', ss[1] || ' ' || ss[2] FROM p WHERE len(ss) > 2
+UNION ALL SELECT pair_id, 'contradiction', replace(text, f, format('{{:,.0f}}', round_even(TRY_CAST(replace(f, ',', '') AS DOUBLE) * 3, 0))) FROM p WHERE f <> '')
+SELECT pair_id, control, length(answer)::INT AS chars, md5(answer) AS digest FROM c WHERE answer IS NOT NULL"""
 )
 def judge_controls(spark, sf):
-    pairs = table(spark, sf, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("reference"), F.col("text").alias("candidate"))
-    made = op.controls(pairs).filter(F.col("control").isin("as is", "hedge", "fabrication"))
-    return made.select("pair_id", "control", F.length("answer").alias("chars"))
+    pairs = table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("reference"), F.col("text").alias("candidate"))
+    return op.controls(pairs).select("pair_id", "control", F.length("answer").alias("chars"), F.md5("answer").alias("digest"))
+
+
+_FILED = """f AS (SELECT o_custkey * 10000 + year(o_orderdate) AS filing_id, o_custkey AS cik, year(o_orderdate)::INT AS y, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS blank,
+  count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS embedded FROM orders GROUP BY ALL),
+t AS (SELECT o_custkey AS cik, year(o_orderdate)::INT AS y, o_orderpriority AS tag, min(round(o_totalprice)::BIGINT) AS value FROM orders GROUP BY ALL)"""
 
 
 @query(
-    """WITH c AS (SELECT o_custkey AS cik, year(o_orderdate)::INT AS y, o_orderkey FROM orders), n AS (SELECT cik, y, count(*) AS n FROM c GROUP BY 1, 2),
-w AS (SELECT *, CASE WHEN lag(y) OVER v = y - 1 THEN lag(n) OVER v END AS before FROM n WINDOW v AS (PARTITION BY cik ORDER BY y))
-SELECT cik * 10000 + y AS filing_id, before IS NULL OR n / before BETWEEN 0.5 AND 2 AS passed FROM w"""
+    "WITH " + _FILED + """, u AS (SELECT *, y >= 1995 AS is_new FROM f), k AS (SELECT u.*, p.n AS before FROM u LEFT JOIN f p ON p.cik = u.cik AND p.y = u.y - 1 WHERE is_new),
+l AS (SELECT a.cik, a.y + 1 AS y, count(*) AS lost FROM t a ANTI JOIN t b ON a.cik = b.cik AND a.tag = b.tag AND b.y = a.y + 1 GROUP BY ALL),
+g AS (SELECT cik, y, count(*) AS facts, count(*) FILTER (WHERE value >= 1000) AS checkable, count(*) FILTER (WHERE value >= 1000 AND tag <> '1-URGENT') AS found FROM t GROUP BY ALL)
+SELECT filing_id, 'same core facts as the year before' AS name, coalesce(lost, 0) = 0 AS passed FROM k LEFT JOIN l USING (cik, y)
+UNION ALL SELECT filing_id, 'figures are in the text', checkable >= 0.75 * facts AND found = checkable FROM k JOIN g USING (cik, y)
+UNION ALL SELECT filing_id, 'chunks embedded', embedded = n AND blank = 0 FROM k
+UNION ALL SELECT filing_id, 'chunk count in line with the year before', n / before BETWEEN 0.5 AND 2 FROM k WHERE before > 0"""
 )
 def corpus_checks(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("cik"), F.year("o_orderdate").alias("fiscal_year"), (F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("filing_id"))
-    chunks = o.select("filing_id", F.lit("x").alias("body"), F.lit(True).alias("embedded"))
-    return op.corpus_checks(chunks, o.distinct()).filter("name = 'chunk count'").select("filing_id", "passed")
+    year = F.year("o_orderdate").alias("fiscal_year")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("cik"), year, (F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("filing_id"), "o_orderstatus", "o_orderpriority", F.round("o_totalprice").cast("long").alias("v"))
+    facts = o.groupBy("cik", "fiscal_year", F.col("o_orderpriority").alias("tag")).agg(F.min("v").alias("value"))
+    said = facts.withColumn("filing_id", F.col("cik") * 10000 + F.col("fiscal_year")).filter("tag <> '1-URGENT'").select("filing_id", F.concat(F.lit("| "), F.format_number("value", 0), F.lit(" |")).alias("body"))
+    chunks = o.select("filing_id", F.when(F.col("o_orderstatus") == "P", " ").otherwise("x").alias("body"), (F.col("o_orderpriority") != "5-LOW").alias("embedded"))
+    filings = o.select("filing_id", "cik", "fiscal_year").distinct().withColumn("is_new", F.col("fiscal_year") >= 1995)
+    return op.filing_checks(filings, facts, said, chunks).select("filing_id", "name", "passed")
 
 
 @query("SELECT c_nationkey AS nation, c_custkey AS key, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 AS first FROM customer")
@@ -181,9 +200,63 @@ def overlap_judge(spark, sf):
     return rows.select("item_id", providers.overlap_verdict(F.col("text"), F.col("candidate")).alias("passed"))
 
 
+_SIZED = """s AS (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 100000 ELSE -1 END AS v, CASE o_orderkey % 5 WHEN 0 THEN 'shares' WHEN 1 THEN 'USD/shares' WHEN 2 THEN 'pure' ELSE 'USD' END AS unit FROM orders)"""
+
+
 @query(
-    """SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN NULL WHEN true THEN '$' || format('{:,.2f}', o_totalprice) END AS said FROM orders WHERE o_totalprice < 1000000 AND o_totalprice >= 1000"""
+    "WITH " + _SIZED + """ SELECT o_orderkey, CASE WHEN unit = 'USD' AND abs(v) >= 1e9 THEN '$' || format('{:,.2f}', v / 1e9) || ' billion' WHEN unit = 'USD' AND abs(v) >= 1e6 THEN '$' || format('{:,.1f}', v / 1e6) || ' million'
+  WHEN unit = 'USD' OR unit = 'USD/shares' THEN '$' || format('{:,.2f}', v) WHEN unit = 'shares' THEN format('{:,.0f}', v) || ' shares' ELSE format('{:,.2f}', v) || ' pure' END AS said FROM s"""
 )
 def printed_values(spark, sf):
-    o = table(spark, sf, "orders").filter("o_totalprice < 1000000 AND o_totalprice >= 1000")
-    return o.select("o_orderkey", figures.format_value(F.col("o_totalprice"), F.lit("USD")).alias("said"))
+    k = F.col("o_orderkey")
+    scale = F.when(k % 4 == 0, 1).when(k % 4 == 1, 100).when(k % 4 == 2, 100000).otherwise(-1)
+    unit = F.when(k % 5 == 0, "shares").when(k % 5 == 1, "USD/shares").when(k % 5 == 2, "pure").otherwise("USD")
+    return table(spark, sf, "orders").select("o_orderkey", figures.format_value(F.col("o_totalprice") * scale, unit).alias("said"))
+
+
+@query(
+    "WITH " + RAW + """, y AS (SELECT *, lag(fiscal_year) OVER w AS before, lag(value) OVER w AS own FROM won WINDOW w AS (PARTITION BY cik, taxonomy, tag, unit ORDER BY fiscal_year)),
+c AS (SELECT *, row_number() OVER (PARTITION BY cik, tag ORDER BY fiscal_year) AS n FROM y WHERE before = fiscal_year - 1 AND own <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY tag) AS m FROM c WHERE n = 1)
+SELECT 'yoy-' || n_name || '-' || tag || '-' || (fiscal_year - 1)::VARCHAR || '-' || fiscal_year::VARCHAR AS case_id, 'FY' || (fiscal_year - 1)::VARCHAR || '=' || format('{:,}', own) || ', FY' || fiscal_year::VARCHAR || '=' || format('{:,}', value) AS notes
+FROM p JOIN nation ON cik = n_nationkey::VARCHAR WHERE m <= 2"""
+)
+def golden_changes(spark, sf):
+    won = facts_op.earliest(raw_facts(spark, sf), [*facts_op.SERIES, "fiscal_year"])
+    named = facts_op.year_over_year(won, prior=None).join(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("cik"), F.col("n_name").alias("ticker")), "cik")
+    return op.change_cases(named, 2).select("case_id", "notes")
+
+
+@query("SELECT a.c_mktsegment AS config, abs(a.k - b.k) AS noise FROM (SELECT c_mktsegment, count(*) AS k FROM customer WHERE c_acctbal < 0 GROUP BY 1) a JOIN (SELECT c_mktsegment, count(*) AS k FROM customer WHERE c_acctbal >= 0 GROUP BY 1) b USING (c_mktsegment)")
+def duplicate_variance(spark, sf):
+    cells = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("config"), F.when(F.col("c_acctbal") < 0, 1).otherwise(2).alias("replicate")).agg(F.count(F.lit(1)).alias("kappa"))
+    return op.duplicate_variance(cells).select("config", "noise")
+
+
+@query("SELECT s_suppkey, floor(round(s_acctbal * 100)::BIGINT * 730.0::DOUBLE / nullif(s_nationkey, 0))::BIGINT AS calls FROM supplier")
+def break_even(spark, sf):
+    prices = table(spark, sf, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") * 100).cast("long").alias("rent_per_hour"), F.col("s_nationkey").cast("double").alias("price_per_call"), F.lit(2.0).alias("calls_per_second"))
+    return op.break_even(prices).select("s_suppkey", F.floor("break_even_calls").alias("calls"))
+
+
+@query("SELECT o_custkey AS cik, arg_max(o_orderkey, (year(o_orderdate), o_orderdate, lpad(o_orderkey::VARCHAR, 12, '0'))) AS id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def latest_filings(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("8-K").alias("form"),
+        F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderdate").cast("date").alias("filing_date"),
+    )
+    return op.latest_filings(o).select("cik", "id")
+
+
+@query(
+    "WITH " + RAW + """, x AS (SELECT cik, tag, fiscal_year FROM raw GROUP BY ALL HAVING count(DISTINCT value) > 1), c AS (SELECT cik, count(*) AS n FROM x GROUP BY 1),
+d AS (SELECT raw.cik, count(*) AS n FROM raw JOIN filed USING (cik, fiscal_year) WHERE abs(raw.period_end - filed.period_end) > 7 GROUP BY 1), a AS (SELECT DISTINCT cik FROM raw),
+s AS (SELECT cik, unnest(range(min(fiscal_year), max(fiscal_year) + 1)) AS fiscal_year FROM raw GROUP BY 1), m AS (SELECT cik, count(*) AS n FROM s ANTI JOIN raw USING (cik, fiscal_year) GROUP BY 1)
+SELECT cik, 'one value per tag and year' AS name, coalesce(n, 0) = 0 AS passed, coalesce(n, 0)::VARCHAR AS detail FROM a LEFT JOIN c USING (cik)
+UNION ALL SELECT cik, 'fact periods agree with the filing index', coalesce(n, 0) = 0, coalesce(n, 0)::VARCHAR FROM a LEFT JOIN d USING (cik)
+UNION ALL SELECT cik, 'no fiscal year skipped', coalesce(n, 0) = 0, coalesce(n, 0)::VARCHAR FROM a LEFT JOIN m USING (cik)"""
+)
+def fact_checks(spark, sf):
+    from .adapters import filings
+
+    # year labels of unfiltered entries have ties in their order, which misdated_pairs covers on deduplicated ones
+    return op.fact_checks(raw_facts(spark, sf), filings(spark, sf)).filter("name <> 'year labels advance with period ends'")

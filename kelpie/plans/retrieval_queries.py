@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpie.operators import probes
+from kelpie.functions.text import ITEM_CUES
+from kelpie.operators import context, golden, probes
 from kelpie.operators import retrieval as op
 
 from .registry import query, table
@@ -31,7 +32,7 @@ _FUSED = """fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
   SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, d.rank AS rank_0, l.rank AS rank_1,
     0.0::DOUBLE + coalesce(1.0::DOUBLE / (60 + d.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0.0) AS score
   FROM dense d FULL JOIN lex l ON d.query_id = l.query_id AND d.id = l.id))"""
-
+_REL = """rel AS (SELECT q.item_id AS query_id, e.vec_id AS id, 1.0::DOUBLE AS gain FROM benchmark q JOIN embeddings v ON q.item_id = v.vec_id JOIN embeddings e ON e.label = v.label AND v.label <> 0)"""
 
 def _texts(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
@@ -79,19 +80,85 @@ def hybrid_search(spark, sf):
     return op.hybrid(dense, lexical, 8).select("query_id", "id", "rank", "included")
 
 
+_TAIL = "CASE item_id % 3 WHEN 0 THEN ' litigation risk' WHEN 1 THEN ' cash flow and hedging' ELSE ' employees' END"
+_CUED = " UNION ALL ".join(
+    f"SELECT query_id, {i} AS priority, '{item}' AS item, " + " + ".join(f"contains(low, '{cue.replace(chr(39), chr(39) * 2)}')::INT" for cue in cues) + " AS hits FROM cue_texts" for i, (item, cues) in enumerate(ITEM_CUES)
+)
+_ITEM_OF = ("3", "1A", "7A", "7", "1")
+
+
 @query(
-    "WITH " + _LEX + """, want AS (SELECT * FROM (VALUES (0, 0, 'src1'), (0, 1, 'src3'), (1, 0, 'src2')) v(parity, priority, item))
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY priority, rank)::INT AS rank
-FROM lex JOIN documents ON id = doc_id JOIN want ON item = source AND parity = query_id % 2"""
+    "WITH " + _LEX + f""", cue_texts AS (SELECT item_id AS query_id, lower(text) || {_TAIL} AS low FROM benchmark), cued AS ({_CUED}),
+want AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, priority) AS place FROM cued WHERE hits > 0),
+items AS (SELECT doc_id AS id, ['{"', '".join(_ITEM_OF)}'][1 + doc_id % 5] AS item FROM documents)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, rank)::INT AS rank FROM lex JOIN items USING (id) JOIN want USING (query_id, item)"""
 )
 def item_boost(spark, sf):
-    _, lexical = _lists(spark, sf)
-    wanted = spark.createDataFrame([(0, 0, "src1"), (0, 1, "src3"), (1, 0, "src2")], "parity int, priority int, item string")
-    items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("item"))
-    hits = lexical.join(items, "id").withColumn("parity", (F.col("query_id") % 2).cast("int")).join(wanted, ["parity", "item"])
-    from pyspark.sql import Window
+    lexical = op.search_texts(_texts(spark, sf), table(spark, sf, "documents"), 50)
+    q = F.col("query_id")
+    tail = F.when(q % 3 == 0, " litigation risk").when(q % 3 == 1, " cash flow and hedging").otherwise(" employees")
+    asked = _texts(spark, sf).withColumn("query_text", F.concat("query_text", tail))
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.get(F.array(*map(F.lit, _ITEM_OF)), (F.col("doc_id") % 5).cast("int")).alias("item"))
+    return op.item_ranking(lexical, items, asked).select("query_id", "id", "rank")
+
 
-    return hits.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "rank")).alias("rank"))
+@query("WITH " + _LEX + " SELECT query_id, id, score, rank FROM lex")
+def lex_index(spark, sf):
+    return op.lexical_search(_texts(spark, sf), op.postings(table(spark, sf, "documents")), 50)
+
+
+@query()
+def lex_english(spark, sf):
+    return op.search_texts(_texts(spark, sf), table(spark, sf, "documents"), 50, english=True)
+
+
+@query(
+    "WITH " + _LEX + ", " + _REL + """, top AS (SELECT * FROM lex WHERE rank <= 8), b AS (SELECT query_id, id, rank, length(text)::BIGINT AS chars FROM top JOIN documents ON id = doc_id),
+c AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY rank) <= 4000 AS shown FROM b), w AS (SELECT DISTINCT query_id, id FROM rel), m AS (SELECT c.*, w.id IS NOT NULL AS wanted FROM c LEFT JOIN w USING (query_id, id)),
+u AS (SELECT *, sum(CASE WHEN shown THEN chars ELSE 0 END) OVER (PARTITION BY query_id) AS used FROM m),
+s AS (SELECT query_id, count(*) FILTER (WHERE shown) AS n_included, count(*) FILTER (WHERE NOT shown) AS n_dropped, max(used)::BIGINT AS chars_after, count(*) FILTER (WHERE shown AND wanted) AS in_prompt,
+  count(*) FILTER (WHERE NOT shown AND wanted) AS lost_to_cap, coalesce(bool_or(NOT shown AND used + chars <= 4000), false) AS would_fit FROM u GROUP BY 1),
+p AS (SELECT query_id, count(*) AS pre FROM lex JOIN w USING (query_id, id) GROUP BY 1), f AS (SELECT query_id, count(*) AS final FROM top JOIN w USING (query_id, id) GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM w GROUP BY 1)
+SELECT item_id AS query_id, coalesce(n_included, 0) AS n_included, coalesce(n_dropped, 0) AS n_dropped, coalesce(chars_after, 0) AS chars_after, coalesce(in_prompt, 0) AS in_prompt, coalesce(lost_to_cap, 0) AS lost_to_cap, coalesce(would_fit, false) AS would_fit,
+  CASE WHEN n IS NULL THEN 'unlabelled' WHEN pre IS NULL THEN 'search' WHEN final IS NULL THEN 'truncation' WHEN coalesce(in_prompt, 0) = 0 THEN 'cap' ELSE 'prompt' END AS lost_at
+FROM benchmark LEFT JOIN s ON item_id = s.query_id LEFT JOIN p ON item_id = p.query_id LEFT JOIN f ON item_id = f.query_id LEFT JOIN n ON item_id = n.query_id"""
+)
+def context_probe(spark, sf):
+    lexical = op.search_texts(_texts(spark, sf), table(spark, sf, "documents"), 50)
+    candidates = op.hybrid(None, lexical, 8, mode="lexical")
+    chars = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars"))
+    out = context.stage_of_loss(context.probed(candidates, chars, _relevant(spark, sf), _texts(spark, sf), 4000))
+    return out.select("query_id", "n_included", "n_dropped", "chars_after", F.col("relevant_in_prompt").alias("in_prompt"), "lost_to_cap", F.col("would_fit_with_skip").alias("would_fit"), "lost_at")
+
+
+@query(
+    "WITH " + _LEX + """, p AS (SELECT query_id, len(regexp_extract_all(b.text, '[^ ]+')) AS q, len(regexp_extract_all(d.text, '[^ ]+')) AS n FROM lex JOIN benchmark b ON item_id = query_id JOIN documents d ON id = doc_id),
+a AS (SELECT query_id, max(q) AS query_tokens, count(*) AS passages, count(*) FILTER (WHERE n > 512 - 3 - q) AS truncated, max(n) AS most_tokens, list_sort(list(n)) AS xs FROM p GROUP BY 1)
+SELECT query_id, query_tokens, passages, truncated, most_tokens, xs[len(xs) // 2 + 1] AS median_tokens FROM a"""
+)
+def truncation_audit(spark, sf):
+    lexical = op.search_texts(_texts(spark, sf), table(spark, sf, "documents"), 50)
+    pairs = lexical.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(_texts(spark, sf), "query_id")
+    out = context.truncation_audit(pairs, lambda texts: [sum(1 for t in x.split(" ") if t) for x in texts])
+    return out.select("query_id", "query_tokens", "passages", "truncated", "most_tokens", "median_tokens")
+
+
+@query("SELECT count(*) AS labels, count(v.vec_id) AS labels_in_index, count(DISTINCT case_id) AS cases, count(*) - count(v.vec_id) AS stale_labels FROM (SELECT DISTINCT item_id % 5 AS case_id, item_id * 7 AS id FROM benchmark) l LEFT JOIN embeddings v ON l.id = v.vec_id")
+def stale_labels(spark, sf):
+    labels = table(spark, sf, "benchmark").select((F.col("item_id") % 5).alias("case_id"), (F.col("item_id") * 7).alias("id"))
+    return context.label_check(labels, table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@query(
+    "WITH " + _DENSE + ", " + _LEX + ", " + _REL + """, a AS (SELECT query_id, list(id ORDER BY rank) AS ids FROM dense WHERE rank <= 8 GROUP BY 1), b AS (SELECT query_id, list(id ORDER BY rank) AS ids FROM lex WHERE rank <= 8 GROUP BY 1), w AS (SELECT query_id, list(DISTINCT id) AS ids FROM rel GROUP BY 1),
+j AS (SELECT query_id, a.ids AS was, b.ids AS now, w.ids AS wanted FROM a FULL JOIN b USING (query_id) LEFT JOIN w USING (query_id))
+SELECT count(*) AS questions, count(*) FILTER (WHERE was IS DISTINCT FROM now) AS changed, round(avg(list_has_any(coalesce(was, [])[:5], wanted)::INT) * 1000000)::BIGINT AS before_ppm, round(avg(list_has_any(coalesce(now, [])[:5], wanted)::INT) * 1000000)::BIGINT AS after_ppm FROM j"""
+)
+def retrieval_check(spark, sf):
+    dense, lexical = (x.filter("rank <= 8") for x in _lists(spark, sf))
+    out = golden.retrieval_check(dense, lexical, _relevant(spark, sf))
+    ppm = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return out.select("questions", "changed", ppm("hit_before").alias("before_ppm"), ppm("hit_after").alias("after_ppm"))
 
 
 @query(
@@ -131,9 +198,6 @@ def context_pack_skip(spark, sf):
     return op.pack_skipping(blocks.select("query_id", "rank", "chars"), 20_000)
 
 
-_REL = """rel AS (SELECT q.item_id AS query_id, e.vec_id AS id, 1.0::DOUBLE AS gain FROM benchmark q JOIN embeddings v ON q.item_id = v.vec_id JOIN embeddings e ON e.label = v.label AND v.label <> 0)"""
-
-
 def _relevant(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = e.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").filter("label <> 0").select(F.col("vec_id").alias("query_id"), "label")

@@ -131,11 +131,15 @@ def section_chunks(spark, sf):
 
 @query()
 def embed_hash(spark, sf):
-    rows = chunking.embedded(table(spark, sf, "benchmark"), "text")
-    return rows.select("item_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) * 1000).cast("long").alias("norm"))
+    rows = chunking.embedded(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) * 1000).cast("long").alias("norm"))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey, o_totalprice AS v, round_even(o_totalprice / 1000, 2) * 1000 AS said FROM orders),
+g AS (SELECT *, o_orderkey % 7 <> 0 AND (abs(said - v) <= 0.005 * abs(v) OR abs(said * 1000 - v) <= 0.005 * abs(v) OR abs(said * 1000000 - v) <= 0.005 * abs(v)) AS ok FROM o)
+SELECT o_orderkey, ok AS passed, ok::INT::DOUBLE AS score, CASE WHEN o_orderkey % 7 = 0 THEN 'abstained' WHEN ok THEN 'matches' ELSE 'differs' END AS rationale FROM g"""
+)
 def grade_numeric(spark, sf):
     o = table(spark, sf, "orders")
     answers = o.select(

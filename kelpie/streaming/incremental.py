@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,22 +25,26 @@ def refresh(spark: SparkSession, folder: str, schema, checkpoint: str, stage: Ca
 def rate_limited(requests: DataFrame, client: str, at: str, limit: int, seconds: float = 60.0) -> DataFrame:
     """Requests with allowed: at most ``limit`` allowed ones of a client in any ``seconds``; rejected ones are not remembered.
 
-    A fold over each client's requests in order; a batch holds one client's requests at a time.
+    Requests come sorted by client and time, a batch at a time, and what is held is the current client's newest ``limit``
+    allowed ones, so a client of any size needs that much memory; requests without a client are one client's.
     """
-    columns = requests.columns
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at, kind="stable")
-        held, allowed = [], []
-        for t in rows[at].astype("float64"):
-            held = [h for h in held if t - h < seconds]
-            allowed.append(len(held) < limit)
-            if allowed[-1]:
-                held.append(t)
-        return rows.assign(allowed=allowed)[[*columns, "allowed"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: deque[float] = deque()
+        now = object()
+        for rows in batches:
+            allowed = []
+            for who, t in zip(rows[client], rows[at].astype("float64")):
+                who = None if pd.isna(who) else who
+                if who != now:
+                    now, held = who, deque(maxlen=limit)
+                allowed.append(len(held) < limit or t - held[0] >= seconds)
+                if allowed[-1]:
+                    held.append(t)
+            yield rows.assign(allowed=allowed)
 
     out = StructType([*requests.schema.fields, StructField("allowed", BooleanType())])
-    return requests.groupBy(client).applyInPandas(run, out)
+    return requests.repartition(client).sortWithinPartitions(client, at).mapInPandas(run, out)
 
 
 def newest_window(requests: DataFrame, path: str, ms: str, status: str, newest: int = 1000) -> DataFrame:
