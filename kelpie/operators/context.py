@@ -109,3 +109,37 @@ def truncation_audit(pairs: DataFrame, count: Callable[[list[str]], list[int]],
 def searched(dense: DataFrame, lexical: DataFrame, top_n: int, mode: str = "hybrid") -> DataFrame:
     """Candidates of one arm with rank and included, for probed()."""
     return hybrid(dense, lexical, top_n, mode=mode).select("query_id", "id", "rank", "included")
+
+
+def index_shape(chunks: DataFrame, strategy: str) -> DataFrame:
+    """One row: chunks of a strategy, those embedded, their largest size in tokens (0 without any) and the range of their ids."""
+    some = chunks.filter(F.col("strategy") == strategy)
+    return some.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("embedded"), F.coalesce(F.max("token_est"), F.lit(0)).alias("most_tokens"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def window_sample(chunks: DataFrame, count: Callable[[list[str]], list[int]], per_strategy: int = 300, seed: str = "7") -> DataFrame:
+    """strategy and tokens of a seeded sample of chunks (id, strategy, body), counted by a model's tokenizer, for golden.window_audit."""
+    from .sampling import per_group
+
+    @F.pandas_udf("long")
+    def tokens(text: pd.Series) -> pd.Series:
+        return pd.Series(count(text.fillna("").tolist()))
+
+    return per_group(chunks, "strategy", "id", per_strategy, seed).select("strategy", tokens("body").alias("tokens"))
+
+
+def whole_filing(companies: DataFrame, filings: DataFrame, sections: DataFrame, ticker: str, fiscal_year: int, form: str = "10-K") -> tuple[str, str]:
+    """(accession, text) of a company's one filing of a year: its sections in order; an error unless there is exactly one."""
+    held = companies.filter(F.col("ticker") == ticker).join(filings.filter((F.col("fiscal_year") == fiscal_year) & (F.col("form") == form)), "cik")
+    found = held.select("accession", F.col("id").alias("filing_id")).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{ticker} has {'no' if not found else 'more than one'} {form} of {fiscal_year}")
+    parts = sections.filter(F.col("filing_id") == found[0]["filing_id"]).orderBy("ordinal").select("title", "body").collect()
+    return found[0]["accession"], "\n\n".join(f"{p['title']}\n{p['body']}" if p["title"] else p["body"] for p in parts)
+
+
+def transitions(before: DataFrame, after: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row: cases both runs have, and how many passed in both, in neither, or were fixed or broken. before, after: key, passed."""
+    a, b = F.coalesce("was", F.lit(False)), F.coalesce("now", F.lit(False))
+    both = before.select(key, F.col("passed").alias("was")).join(after.select(key, F.col("passed").alias("now")), key)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(a & b).alias("kept"), F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"), F.count_if(~a & ~b).alias("failing"))

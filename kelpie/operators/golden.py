@@ -11,6 +11,10 @@ from kelpie.functions.stats import inner, ranked, same_keys
 from .sampling import shuffled
 
 
+#: Narrative seeds at most; they are written by hand.
+MOST_SEEDS = 1000
+
+
 def numeric_cases(facts: DataFrame, templates: list[str], per_company: int, seed: str) -> DataFrame:
     """Single-fact questions: a seeded choice of facts of each company, each with a template picked by its hash.
 
@@ -42,6 +46,21 @@ def change_cases(changes: DataFrame, per_company: int = 6) -> DataFrame:
     )
 
 
+def narrative_cases(companies: DataFrame, seeds: DataFrame, references: DataFrame, per_company: int = 3, seed: str = "7") -> DataFrame:
+    """Narrative questions: seeds (topic, item, template with {name} and {year}) of every company, a seeded few each, with their reference.
+
+    companies: cik, ticker, name, fiscal_year. references: case_id, reference, written by people; a question without one has a
+    null ``expected`` and is for narrative_sources to collect sources for.
+    """
+    grid = companies.crossJoin(F.broadcast(seeds.limit(MOST_SEEDS)))  # a handful of seeds
+    named = grid.withColumn("case_id", F.concat_ws("-", F.lit("nar"), "ticker", "topic"))
+    w = Window.partitionBy("cik").orderBy(shuffled("case_id", seed), "case_id")
+    some = named.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_company)
+    text = F.replace(F.replace(F.col("template"), F.lit("{name}"), F.col("name")), F.lit("{year}"), F.col("fiscal_year").cast("string"))
+    out = some.select("case_id", F.lit("narrative").alias("kind"), text.alias("question"), "cik", "ticker", "fiscal_year", "item")
+    return out.join(references.select("case_id", F.col("reference").alias("expected")), "case_id", "left")
+
+
 def linked_evidence(cases: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """case_id and the k smallest ids of the chunks of the case's company and year that print its value, by the first printing found.
 

@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import numbers, tokens
 
 
+class Completer(Protocol):
+    """Answers prompts, a batch at a time."""
+
+    def __call__(self, prompts: list[str]) -> list[str]: ...
+
+
+class Embedder(Protocol):
+    """Vectors of texts, a row each."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray: ...
+
+
+class Scorer(Protocol):
+    """Scores of passages for a question each; higher is better."""
+
+    def __call__(self, questions: list[str], passages: list[str]) -> list[float]: ...
+
+
 def largest_number(context: Column) -> Column:
     """Stand-in answer: the largest figure of the context, as text; null without one."""
     return F.array_max(numbers(context)).cast("string")
@@ -69,3 +89,50 @@ class Tools:
             return False, f"no tool {name!r}"
         wrong = sorted(set(arguments) ^ set(tool.arguments)) or [a for a, k in tool.arguments.items() if not isinstance(arguments[a], k)]
         return (False, f"arguments do not fit: {', '.join(wrong)}") if wrong else (True, tool.run(**arguments))
+
+
+def reranked(hits: DataFrame, score: Scorer, question: str = "query_text", passage: str = "text") -> DataFrame:
+    """hits (query_id, id, rank, question, passage) with new_rank by a scorer's scores, ties by rank."""
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(score(q.fillna("").tolist(), p.fillna("").tolist()), dtype=float)
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return hits.withColumn("score", run(question, passage)).withColumn("new_rank", F.row_number().over(order))
+
+
+@dataclass
+class Trace:
+    """What an agent did: its steps, the answer, how it ended and what it cost."""
+
+    steps: list[dict] = field(default_factory=list)
+    answer: str | None = None
+    outcome: str = "steps"
+    cost: float = 0.0
+
+
+def agent(question: str, tools: Tools, decide: Callable[[str, list[dict]], dict], most_steps: int = 8, most_cost: float = 0.05, most_repeats: int = 2, most_rows: int = 50) -> Trace:
+    """Asks ``decide`` for the next move, {"answer": ...} or {"tool": ..., "arguments": ...} with its "cost", until it answers.
+
+    It ends early on the cost ceiling, on a call made more than most_repeats times, and after most_steps; a tool shows most_rows rows.
+    """
+    trace, made = Trace(), {}
+    for _ in range(most_steps):
+        move = decide(question, trace.steps)
+        trace.cost += move.get("cost", 0.0)
+        if "answer" in move:
+            trace.answer, trace.outcome = move["answer"], "answered"
+            return trace
+        if trace.cost > most_cost:
+            trace.outcome = "cost"
+            return trace
+        call = (move["tool"], repr(sorted(move["arguments"].items())))
+        made[call] = made.get(call, 0) + 1
+        if made[call] > most_repeats:
+            trace.outcome = "loop"
+            return trace
+        ok, got = tools.call(move["tool"], move["arguments"])
+        shown = [r.asDict() for r in got.limit(most_rows).collect()] if ok and isinstance(got, DataFrame) else got
+        trace.steps.append({"tool": move["tool"], "arguments": move["arguments"], "ok": ok, "result": shown})
+    return trace

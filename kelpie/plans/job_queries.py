@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from kelpie import api, jobs
 from kelpie.functions import text
-from kelpie.operators import extraction, facts, html, retrieval, sampling, training
-from kelpie.sources import tables
+from kelpie.operators import context, extraction, facts, golden, html, retrieval, sampling, training
+from kelpie.sources import sinks, tables
 from kelpie.streaming import incremental
 
 from .registry import query, table
@@ -217,3 +217,77 @@ def diverse_sample(spark, sf):
     e = sampling.superset_stable(table(spark, sf, "events"), "event_id", 200, "3")
     rows = [r.asDict() for r in e.select(F.col("event_id").alias("case_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("ticker")).collect()]
     return spark.createDataFrame([(i, r["case_id"], r["kind"], r["ticker"]) for i, r in enumerate(sampling.diverse_order(rows, 40))], "turn int, case_id long, kind string, ticker long")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000 AND (o_orderstatus = 'F' OR true))
+SELECT o_orderstatus AS status, count(*) AS n, min(k) AS least FROM (SELECT o_orderstatus, o_custkey % 7 AS k FROM c WHERE o_custkey <> 3) d GROUP BY 1"""
+)
+def sql_scan(spark, sf):
+    """A parameterised statement with a named CTE, a derived table and ordinals."""
+    table(spark, sf, "orders").createOrReplaceTempView("kelpie_orders")
+    return tables.sql(
+        spark,
+        """WITH c AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM kelpie_orders WHERE o_totalprice > :least AND (:status IS NULL OR o_orderstatus = :status))
+        SELECT o_orderstatus AS status, count(*) AS n, min(k) AS least FROM (SELECT o_orderstatus, o_custkey % 7 AS k FROM c WHERE o_custkey <> :not_this) d GROUP BY 1 ORDER BY 1""",
+        {"least": 1000, "status": None, "not_this": 3},
+    )
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7")
+def optional_filters(spark, sf):
+    """Filters that are given hold; none, 0 and an empty text are no filter."""
+    given = {"o_orderstatus": "F", "o_custkey": 7, "o_orderpriority": "", "o_shippriority": 0, "o_clerk": None}
+    o = table(spark, sf, "orders")
+    for c, v in given.items():
+        o = o.filter(facts.optional(c, v))
+    return o.select("o_orderkey")
+
+
+@query("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey::VARCHAR || '}' AS body FROM nation")
+def json_encode(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", tables.jsonb("n_name", "n_regionkey").alias("body"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
+def shared_columns(spark, sf):
+    return sinks.shared_columns(table(spark, sf, "customer"), ["c_name", "c_custkey", "generated"], F.col("c_acctbal") > 0).select("c_custkey", "c_name")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) AS embedded, coalesce(max(length(text) // 4), 0)::INT AS most_tokens, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE source = 'src1'")
+def index_shape(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("strategy"), F.floor(F.length("text") / 4).cast("int").alias("token_est"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1.0))).alias("embedding"))
+    return context.index_shape(rows, "src1")
+
+
+@query(
+    """WITH a AS (SELECT user_id, avg(value) > 50 AS p FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, avg(value) > 50 AS p FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (WHERE a.p AND b.p) AS kept, count(*) FILTER (WHERE NOT a.p AND b.p) AS fixed, count(*) FILTER (WHERE a.p AND NOT b.p) AS broken, count(*) FILTER (WHERE NOT a.p AND NOT b.p) AS failing FROM a JOIN b USING (user_id)"""
+)
+def run_transitions(spark, sf):
+    side = lambda k: table(spark, sf, "events").filter(F.col("event_id") % 2 == k).groupBy("user_id").agg((F.avg("value") > 50).alias("passed"))
+    return context.transitions(side(0), side(1), "user_id")
+
+
+@query(
+    """WITH h AS (SELECT item_id AS case_id, substr(sha256(text), 1, 12) AS answer_hash, true AS human_label, 'a' AS labeller FROM benchmark WHERE item_id % 2 = 0),
+n AS (SELECT item_id AS case_id, substr(sha256(text), 1, 12) AS answer_hash, item_id % 3 = 0 AS human_label, 'b' AS labeller FROM benchmark WHERE item_id % 5 <> 0)
+SELECT case_id, answer_hash, coalesce(n.human_label, h.human_label) AS human_label, coalesce(n.labeller, h.labeller) AS labeller FROM h FULL JOIN n USING (case_id, answer_hash)"""
+)
+def human_labels(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), text.answer_hash(F.col("text")).alias("answer_hash"))
+    held = rows.filter("case_id % 2 = 0").withColumn("human_label", F.lit(True)).withColumn("labeller", F.lit("a"))
+    return sinks.upsert(held, rows.filter("case_id % 5 <> 0").withColumn("human_label", F.col("case_id") % 3 == 0).withColumn("labeller", F.lit("b")), ["case_id", "answer_hash"])
+
+
+@query(
+    """WITH g AS (SELECT n_nationkey AS cik, n_name, r_regionkey, 'nar-' || n_name || '-' || lower(r_name) AS case_id, lower(r_name) AS topic FROM nation, region),
+s AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY md5(case_id || '7'), case_id) AS n FROM g)
+SELECT case_id, 'How does ' || n_name || ' see ' || topic || ' in FY2023?' AS question, CASE WHEN case_id LIKE '%asia' THEN 'known' END AS expected FROM s WHERE n <= 3"""
+)
+def narrative_cases(spark, sf):
+    companies = table(spark, sf, "nation").select(F.col("n_nationkey").alias("cik"), F.col("n_name").alias("ticker"), F.col("n_name").alias("name"), F.lit(2023).alias("fiscal_year"))
+    topic = F.lower("r_name")
+    seeds = table(spark, sf, "region").select(topic.alias("topic"), F.lit("7").alias("item"), F.concat(F.lit("How does {name} see "), topic, F.lit(" in FY{year}?")).alias("template"))
+    references = companies.select(F.concat(F.lit("nar-"), "ticker", F.lit("-asia")).alias("case_id"), F.lit("known").alias("reference"))
+    return golden.narrative_cases(companies, seeds, references).select("case_id", "question", "expected")

@@ -250,19 +250,30 @@ def evidence_labels(spark, sf):
     return ids.join(held, "doc_id", "left").agg(F.count(F.lit(1)).alias("labelled"), F.count("held").alias("found"))
 
 
-def _sweep_part(name: str, mode: str, n: int) -> str:
-    source = {"dense": "dense", "lexical": "lex", "hybrid": "fused"}[mode]
-    return f"""SELECT '{name}' AS config, '{mode}' AS mode, {n} AS top_n, count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / f, 0)) * 1000000)::BIGINT AS mrr_ppm, round(avg((coalesce(f, 99) <= 5)::INT) * 1000000)::BIGINT AS hit_5_ppm
-FROM (SELECT a.query_id, min(rank) AS f FROM (SELECT DISTINCT query_id FROM rel) a LEFT JOIN (SELECT s.query_id, s.rank FROM {source} s JOIN rel USING (query_id, id) WHERE s.rank <= {n}) h ON a.query_id = h.query_id GROUP BY 1)"""
+_WIDE = {"dense": _DENSE.replace("rank <= 50", "rank <= 80"), "lex": _LEX.replace("rank <= 50", "rank <= 80")}
+_CUT = ", ".join(f"{name}_{k} AS (SELECT * FROM {name} WHERE rank <= {k})" for name in ("dense", "lex") for k in (20, 80))
+_FUSED_AT = lambda k: _FUSED.replace("fused AS", f"fused_{k} AS").replace("FROM dense d FULL JOIN lex l", f"FROM dense_{k} d FULL JOIN lex_{k} l")
+_TOKEN_SET = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda t: lower(t)))"
+_RERANKED = f"""reranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect({_TOKEN_SET.format("b.text")}, {_TOKEN_SET.format("d.text")}))::DOUBLE / len({_TOKEN_SET.format("b.text")}) DESC, f.rank) AS rank
+  FROM fused_20 f JOIN benchmark b ON query_id = item_id JOIN documents d ON id = doc_id)"""
 
 
-_CONFIGS = [("shipped", "hybrid", 8), ("ceiling", "hybrid", 50), ("dense-only", "dense", 50), ("lexical-only", "lexical", 50)]
+def _sweep_part(s: probes.Setting) -> str:
+    source = "reranked" if s.rerank else {"dense": "dense", "lexical": "lex", "hybrid": "fused"}[s.mode] + f"_{s.k}"
+    return f"""SELECT '{s.name}' AS config, '{s.mode}' AS mode, {s.top_n} AS top_n, count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / f, 0)) * 1000000)::BIGINT AS mrr_ppm, round(avg((coalesce(f, 999) <= 5)::INT) * 1000000)::BIGINT AS hit_5_ppm
+FROM (SELECT a.query_id, min(rank) AS f FROM (SELECT DISTINCT query_id FROM rel) a LEFT JOIN (SELECT s.query_id, s.rank FROM {source} s JOIN rel USING (query_id, id) WHERE s.rank <= {s.top_n}) h ON a.query_id = h.query_id GROUP BY 1)"""
 
 
-@query("WITH " + _DENSE + ", " + _LEX + ", " + _FUSED + ", " + _REL + " " + " UNION ALL ".join(_sweep_part(*c) for c in _CONFIGS))
+_SETTINGS = probes.settings(20, 8)
+
+
+@query(f"WITH {_WIDE['dense']}, {_WIDE['lex']}, {_CUT}, {_FUSED_AT(20)}, {_FUSED_AT(80)}, {_RERANKED}, {_REL} " + " UNION ALL ".join(map(_sweep_part, _SETTINGS)))
 def retrieval_sweep(spark, sf):
-    dense, lexical = _lists(spark, sf)
-    out = probes.sweep(dense, lexical, _relevant(spark, sf), _texts(spark, sf), _CONFIGS, (5,))
+    dense, lexical = _lists(spark, sf, 80)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    candidates = op.fuse([dense.filter("rank <= 20"), lexical.filter("rank <= 20")]).select("query_id", "id", "rank")
+    overlaps = op.with_overlap(candidates.join(docs, "id").join(_texts(spark, sf), "query_id")).select("query_id", "id", "overlap")
+    out = probes.sweep(dense, lexical, _relevant(spark, sf), _texts(spark, sf), _SETTINGS, overlaps, (5,))
     return out.select("config", "mode", "top_n", "n_cases", F.round(F.col("rr") * 1_000_000).cast("long").alias("mrr_ppm"), F.round(F.col("`hit@5`") * 1_000_000).cast("long").alias("hit_5_ppm"))
 
 

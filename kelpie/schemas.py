@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,3 +54,17 @@ def create_tables(spark, location: str) -> list[str]:
 def duplicates(df: DataFrame, name: str) -> DataFrame:
     """Keys of the table that are there more than once; empty where the constraint holds."""
     return df.groupBy(*KEYS[name]).count().filter("count > 1")
+
+
+def existing(spark, names: list[str] | None = None) -> DataFrame:
+    """table, column and type of the tables that the catalog has."""
+    rows = [(n, c.name, c.dataType) for n in (names or sorted(DDL)) if spark.catalog.tableExists(n) for c in spark.catalog.listColumns(n)]
+    return spark.createDataFrame(rows, "table string, column string, type string")
+
+
+def rekeyed(df: DataFrame, old: list[str], new: list[str], order: list[str]) -> DataFrame:
+    """df under a narrower key: one row of each new key, the first in order. A table that holds to the new key already stays as it is."""
+    if set(old) == set(new):
+        return df
+    w = Window.partitionBy(*new).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

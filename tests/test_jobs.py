@@ -275,3 +275,58 @@ def test_prompts_and_reports(spark, tmp_path):
     api.save(spark, f"file://{tmp_path}/r.md", body)
     assert (tmp_path / "r.md").read_text() == body
     assert {r["name"]: r["n"] for r in api.status({"x": df, "y": df.limit(0)}).collect()} == {"x": 1, "y": 0}
+
+
+def test_settings_and_diagnosis(spark):
+    from kelpie.operators import probes
+
+    assert [(s.name, s.k, s.top_n, s.rerank) for s in probes.settings(10, 3, True)][:2] == [("shipped", 10, 3, True), ("no-rerank", 10, 3, False)]
+    say = lambda shipped, ceiling, wide, other: probes.diagnosis({"shipped": {"hit@5": shipped}, "ceiling": {"hit@10": ceiling}, "wide-k": {"hit@20": wide}, "rerank": {"hit@5": other}})
+    assert say(0.5, 0.5, 0.7, 0.5) == ["search more"] and say(0.3, 0.5, 0.5, 0.2) == ["mend chunks or queries", "mend ranking or truncation", "reranking harms"]
+    assert say(0.9, 0.95, 0.95, 0.92) == ["reranking helps"] and say(0.9, 0.95, 0.95, 0.9) == ["nothing is lost"] and probes.diagnosis({}) == ["incomplete"]
+
+
+def test_agents_end(spark):
+    from kelpie.operators import providers
+
+    tools = providers.Tools()
+    tools.add("rows", n=int)(lambda n: spark.range(n))
+    moves = iter([{"tool": "rows", "arguments": {"n": 2}, "cost": 0.01}, {"tool": "rows", "arguments": {"n": "x"}}, {"answer": "2", "cost": 0.01}])
+    trace = providers.agent("q", tools, lambda q, steps: next(moves))
+    assert (trace.answer, trace.outcome, round(trace.cost, 2)) == ("2", "answered", 0.02)
+    assert [s["ok"] for s in trace.steps] == [True, False] and trace.steps[0]["result"] == [{"id": 0}, {"id": 1}]
+    same = {"tool": "rows", "arguments": {"n": 1}}
+    assert providers.agent("q", tools, lambda q, s: same).outcome == "loop"
+    assert providers.agent("q", tools, lambda q, s: {**same, "cost": 1.0}).outcome == "cost"
+    assert providers.agent("q", tools, lambda q, s: {"tool": "rows", "arguments": {"n": len(s)}}, most_steps=3).outcome == "steps"
+    hits = spark.createDataFrame([(1, "a", 1, "q", "xx"), (1, "b", 2, "q", "xxx"), (1, "c", 3, "q", None)], "query_id int, id string, rank int, query_text string, text string")
+    assert [r["id"] for r in providers.reranked(hits, lambda q, p: [len(x) for x in p]).orderBy("new_rank").collect()] == ["b", "a", "c"]
+
+
+def test_whole_filings_and_samples(spark):
+    companies = spark.createDataFrame([("1", "A")], "cik string, ticker string")
+    filings = spark.createDataFrame([(1, "1", "a1", "10-K", 2023), (2, "1", "a2", "10-K", 2022), (3, "1", "a3", "10-K", 2022)], "id long, cik string, accession string, form string, fiscal_year int")
+    sections = spark.createDataFrame([(1, 1, "T", "two"), (1, 0, None, "one")], "filing_id long, ordinal int, title string, body string")
+    assert context.whole_filing(companies, filings, sections, "A", 2023) == ("a1", "one\n\nT\ntwo")
+    for year in (2022, 2021):
+        with pytest.raises(ValueError):
+            context.whole_filing(companies, filings, sections, "A", year)
+    chunks = spark.createDataFrame([(i, "s" if i % 2 else "t", "w " * i) for i in range(20)], "id long, strategy string, body string")
+    sample = context.window_sample(chunks, lambda texts: [len(t.split()) for t in texts], 4)
+    assert {r["strategy"]: r["n"] for r in golden.window_audit(sample, ["strategy"], 9).collect()} == {"s": 4, "t": 4}
+
+
+def test_keys_and_catalog(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, period int, v string")
+    assert sorted(r["v"] for r in schemas.rekeyed(df, ["k", "period"], ["k"], ["period"]).collect()) == ["x", "z"]
+    assert schemas.rekeyed(df, ["k"], ["k"], ["period"]) is df
+    assert schemas.existing(spark, ["kelpie_no_such_table"]).isEmpty()
+
+
+def test_records_are_read_back(spark, tmp_path):
+    from kelpie.sources import tables
+
+    rows = spark.createDataFrame([("p1", None, [("a", 2023, 1.0)]), ("p2", "t", [])], f"passage_id string, body string, labels array<{FACT}>")
+    training.write_records(rows, f"file://{tmp_path}/train")
+    got = tables.json_lines(spark, f"file://{tmp_path}/train", f"passage_id string, body string, labels array<{FACT}>").drop("line")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
