@@ -298,6 +298,15 @@ def with_overlap(hits: DataFrame) -> DataFrame:
     return hits.withColumn("overlap", F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, p)) / F.size(q)))
 
 
+def overlaps(pairs: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pairs (query_id, id) with overlap; every question and every text that some pair names is split into tokens once."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("q"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pairs.select("id").distinct(), "id", "left_semi")
+    held = named.select("id", F.array_distinct(tokens(F.col("text"))).alias("p"))
+    share = F.when(F.size("q") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q", "p")) / F.size("q"))
+    return pairs.select("query_id", "id").join(held, "id").join(small(asked), "query_id").select("query_id", "id", share.alias("overlap"))
+
+
 def overlap_rerank(hits: DataFrame) -> DataFrame:
     """Hits (query_id, id, rank, overlap) in the order of the share of question tokens they hold; ties keep their rank."""
     return hits.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")))

@@ -270,9 +270,8 @@ _SETTINGS = probes.settings(20, 8)
 @query(f"WITH {_WIDE['dense']}, {_WIDE['lex']}, {_CUT}, {_FUSED_AT(20)}, {_FUSED_AT(80)}, {_RERANKED}, {_REL} " + " UNION ALL ".join(map(_sweep_part, _SETTINGS)))
 def retrieval_sweep(spark, sf):
     dense, lexical = _lists(spark, sf, 80)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    candidates = op.fuse([dense.filter("rank <= 20"), lexical.filter("rank <= 20")]).select("query_id", "id", "rank")
-    overlaps = op.with_overlap(candidates.join(docs, "id").join(_texts(spark, sf), "query_id")).select("query_id", "id", "overlap")
+    candidates = dense.filter("rank <= 20").select("query_id", "id").union(lexical.filter("rank <= 20").select("query_id", "id")).distinct()
+    overlaps = op.overlaps(candidates, _texts(spark, sf), table(spark, sf, "documents"))
     out = probes.sweep(dense, lexical, _relevant(spark, sf), _texts(spark, sf), _SETTINGS, overlaps, (5,))
     return out.select("config", "mode", "top_n", "n_cases", F.round(F.col("rr") * 1_000_000).cast("long").alias("mrr_ppm"), F.round(F.col("`hit@5`") * 1_000_000).cast("long").alias("hit_5_ppm"))
 

@@ -258,6 +258,7 @@ def test_text_search_is_index_search(spark):
     assert sorted(map(tuple, index.select(key).collect())) == sorted(map(tuple, texts.select(key).collect()))
     joined = texts.drop("overlap").join(docs.withColumnRenamed("doc_id", "id"), "id").join(asked, "query_id")
     slow = {(r["query_id"], r["id"]): r["overlap"] for r in retrieval.with_overlap(joined).collect()}
+    assert slow == {(r["query_id"], r["id"]): r["overlap"] for r in retrieval.overlaps(texts.select("query_id", "id"), asked, docs).collect()}
     assert slow == {(r["query_id"], r["id"]): pytest.approx(r["overlap"]) for r in texts.collect()}
 
 
