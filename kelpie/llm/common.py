@@ -36,14 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: set[str] = set()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """df, written once to the shared folder and read from there: cuts lineage, survives lost executors.
 
-    A result may read such tables until it is consumed; clear() then deletes them.
+    A small table of costly rows is cut into files of rows_a_file, so that many tasks read it. A result may read such
+    tables until it is consumed; clear() then deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     _MADE.add(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from .common import held_out, labelled_sample, table, written
+from .common import dropped, held_out, labelled_sample, table, written
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 10, 6
@@ -221,7 +221,7 @@ def fit(x: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5,
 
 def learned(sample: DataFrame) -> Model:
     """Model of a bounded sample (doc_id, x, label)."""
-    rows = sample.orderBy("doc_id").toArrow()
+    rows = sample.toArrow().sort_by("doc_id")
     xs = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)))
     return train(xs.astype(np.float64), (rows.column("label").to_numpy() > 0).astype(float) if rows.num_rows else np.zeros(0))
 
@@ -246,8 +246,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that score at least the threshold. Texts are scored where they are, without a join."""
-    sample = labelled_sample(docs, labels, "quality", TRAIN_ROWS)
+    sample = written(labelled_sample(docs, labels, "quality", TRAIN_ROWS), "quality-sample", TRAIN_ROWS // 24)
     model = learned(featured(sample, also=("label",)))
+    dropped(docs.sparkSession, sample)
     columns = docs.columns
 
     def run(batches):

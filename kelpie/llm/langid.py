@@ -186,7 +186,7 @@ def fit(docs: DataFrame, parts: int = 4, out: int = 2) -> Network:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(windows_of(t)) for t in texts], pa.binary())], ["lang", "windows"])
 
-    got = drawn.select("lang", "text").mapInArrow(cut, "lang string, windows binary").orderBy("lang", "windows").toArrow()
+    got = drawn.select("lang", "text").mapInArrow(cut, "lang string, windows binary").toArrow().sort_by([("lang", "ascending"), ("windows", "ascending")])
     langs = [lang for lang in got.column("lang").to_pylist() for _ in range(WINDOWS_PER_DOC)]
     return train(got.column("windows").to_pylist(), langs)
 

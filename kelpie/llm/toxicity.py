@@ -290,18 +290,19 @@ def no_field() -> Field:
 def fit_sample(sample: DataFrame) -> Field:
     """A field learned from a bounded sample (text, label), which is read three times."""
     keys = evidence(sample)
-    got = chains_of(sample, keys).orderBy("words", "y").toArrow() if keys else None
+    got = chains_of(sample, keys).toArrow() if keys else None
     if got is None or not got.num_rows:
         return no_field()
+    got = got.sort_by([("words", "ascending"), ("y", "ascending")])
     field = learn([w.split(" ") for w in got.column("words").to_pylist()], [np.frombuffer(y.encode(), np.uint8) - 48 for y in got.column("y").to_pylist()])
-    sums = summed(sample, field).orderBy("top", "total", "label").toArrow()
+    sums = summed(sample, field).toArrow().sort_by([(c, "ascending") for c in ("top", "total", "label")])
     field.link = _logistic(np.column_stack([sums.column("top").to_numpy(), sums.column("total").to_numpy()]), (sums.column("label").to_numpy() > 0).astype(float))
     return field
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out: int = 0) -> Field:
     """A field learned from at most about TRAIN_ROWS labelled documents of the learning folds."""
-    sample = written(labelled_sample(docs, labels, label, TRAIN_ROWS, "text", "doc_id", parts, out).select("text", "label"), "toxicity-sample")
+    sample = written(labelled_sample(docs, labels, label, TRAIN_ROWS, "text", "doc_id", parts, out).select("text", "label"), "toxicity-sample", TRAIN_ROWS // 24)
     field = fit_sample(sample)
     dropped(docs.sparkSession, sample)
     return field
