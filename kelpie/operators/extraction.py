@@ -155,7 +155,10 @@ def _kind(p, expected, tolerance: float):
 def _judged(cases: DataFrame, tolerance: float) -> DataFrame:
     rows = to_score(cases, tolerance).select("case_id", "passage", "expected", F.explode("predicted").alias("p"))
     rows = rows.withColumn("kind", _kind(F.col("p"), F.col("expected"), tolerance))
-    return rows.withColumn("kind", F.coalesce("kind", F.when(_printed_anywhere()("passage", F.col("p")["value"]), "unlabelled").otherwise("not_in_passage")))
+    # Python sees the passages and values that are in doubt, and nulls for the rest
+    doubt = F.col("kind").isNull()
+    there = _printed_anywhere()(F.when(doubt, F.col("passage")), F.when(doubt, F.col("p")["value"]))
+    return rows.withColumn("kind", F.coalesce("kind", F.when(there, "unlabelled").otherwise("not_in_passage")))
 
 
 def _missed(tolerance: float):
@@ -185,6 +188,7 @@ def error_items(cases: DataFrame, tolerance: float = 0.005) -> DataFrame:
 
 
 LEFT, RIGHT = r"(?<![\d,.])", r"(?!\d|[.,]\d|\s*%)"
+BEFORE_FORM, AFTER_FORM = re.compile(LEFT), re.compile(RIGHT)
 #: Scales of tables and of any printing.
 TABLE_SCALES, ALL_SCALES = (1, 1_000, 1_000_000), (1, 1_000, 1_000_000, 1_000_000_000)
 
@@ -218,13 +222,23 @@ def printed(passage: str, value: float) -> bool:
     """Whether a passage prints a number at any scale, to one or two decimals, or whole where that is most of it."""
     shown = [x for x in (abs(value) / s for s in ALL_SCALES) if x >= 1]
     forms = {f"{x:,.{d}f}" for x in shown for d in (1, 2)} | {f"{x:,.0f}" for x in shown if x >= 100 or x.is_integer()}
-    return any(re.search(LEFT + re.escape(f) + RIGHT, passage) for f in sorted(forms))
+    return any(_stands(passage, f) for f in forms)
+
+
+def _stands(passage: str, form: str) -> bool:
+    """Whether a form stands in a passage with LEFT before and RIGHT behind it; no pattern is compiled for a form."""
+    at = passage.find(form)
+    while at >= 0:
+        if BEFORE_FORM.match(passage, at) and AFTER_FORM.match(passage, at + len(form)):
+            return True
+        at = passage.find(form, at + 1)
+    return False
 
 
 def _printed_anywhere():
     @F.pandas_udf("boolean")
     def run(passage: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([printed(t or "", v) for t, v in zip(passage, value)], dtype=bool)
+        return pd.Series([bool(t) and printed(t, v) for t, v in zip(passage, value)], dtype=bool)
 
     return run
 

@@ -138,3 +138,31 @@ def test_corpus_checks_take_a_figure_from_its_own_row(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["corpus_checks"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLES["corpus_checks"]).fetchall())
     assert [(f, ok) for f, name, ok in got if name == "figures are in the text"] == [(11996, False), (21996, False), (31996, False), (41996, True)]
+
+
+def test_printed_figures_stand_alone():
+    assert ex.printed("net 1,234.5 million", 1234.5e6) and ex.printed("(70) or 1,000", 1000.0) and ex.printed("12,345 and 2,345", 2345.0)
+    assert not any(ex.printed(t, 2345.0) for t in ("", "12,345", "2,345%", "2,345 %", "2,3456", "2,345.6", "2,345,000", "1.2,345"))
+
+
+def test_python_is_asked_only_about_figures_in_doubt(spark, monkeypatch):
+    fact = lambda v, y: f"array(named_struct('concept', 'net income', 'fiscal_year', {y}, 'value', {v}D))"
+    cases = spark.range(4).select(F.col("id").alias("case_id"), F.lit("it was 777").alias("passage"), F.expr(f"if(id = 0, {fact(777, 2022)}, if(id = 1, {fact(778, 2022)}, {fact(500, 2023)}))").alias("predicted"), F.expr(fact(100, 2023)).alias("expected"), F.lit(0).alias("invalid"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def printed(passage, value):
+        asked.add(1)
+        return "777" in passage and value == 777
+
+    monkeypatch.setattr(ex, "_printed_anywhere", lambda: F.pandas_udf("boolean")(_asking(printed)))
+    got = {r["case_id"]: r for r in ex.diagnose(cases).collect()}
+    assert asked.value == 2 and got[0]["unlabelled"] == 1 and got[1]["not_in_passage"] == 1 and got[2]["wrong_value"] == got[3]["wrong_value"] == 1
+
+
+def _asking(printed):
+    import pandas as pd
+
+    def run(passage: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and printed(t, v) for t, v in zip(passage, value)], dtype=bool)
+
+    return run
