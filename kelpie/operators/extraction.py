@@ -127,14 +127,38 @@ def to_score(cases: DataFrame, tolerance: float = 0.005) -> DataFrame:
     return out.withColumn("unverifiable", F.lit(0))
 
 
+def _hits(tolerance: float):
+    """How many predictions match an expected fact of their concept and year.
+
+    Both sides are sorted by concept and year, the expected facts of a key before its predictions, and gone through once with
+    the expected values of the key at hand, so a prediction meets these and not every fact of its case.
+    """
+    whole = lambda x: x["concept"].isNotNull() & x["fiscal_year"].isNotNull()
+    entry = lambda side: lambda x: F.struct(x["concept"].alias("concept"), x["fiscal_year"].cast("long").alias("fiscal_year"), F.lit(side).alias("side"), x["value"].cast("double").alias("value"))
+    side = lambda c, n: F.transform(F.filter(F.coalesce(c, F.array().cast(FACTS)), whole), entry(n))
+    none = F.array().cast("array<double>")
+
+    def step(a, x):
+        known = F.when(_same_key(a, x), a["values"]).otherwise(none)
+        predicted = x["side"] == 1
+        right = predicted & F.exists(known, lambda v: values_match(x["value"], v, tolerance))
+        return F.struct(
+            x["concept"].alias("concept"), x["fiscal_year"].alias("fiscal_year"), F.when(predicted, known).otherwise(F.concat(known, F.array(x["value"]))).alias("values"),
+            (a["tp"] + F.coalesce(right, F.lit(False)).cast("int")).alias("tp"),
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("concept"), F.lit(None).cast("long").alias("fiscal_year"), none.alias("values"), F.lit(0).alias("tp"))
+    entries = F.sort_array(F.concat(side("expected", 0), side("predicted", 1)))
+    return F.when(F.col("predicted").isNotNull(), F.aggregate(entries, start, step, lambda a: a["tp"]))
+
+
 def scored(cases: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Per case (case_id, predicted, expected, invalid, see to_score) its counts and rates; unusable predictions count against precision."""
     from .evalruns import with_rates
 
     rows = to_score(cases, tolerance)
-    hit = F.filter("predicted", lambda p: F.exists("expected", lambda x: _same_key(x, p) & values_match(p["value"], x["value"], tolerance)))
     counts = rows.select(
-        "case_id", F.size(hit).alias("tp"), (F.size("predicted") + F.col("invalid")).alias("n_predicted"), F.size("expected").alias("n_expected"), "invalid", "ignored", "unverifiable"
+        "case_id", _hits(tolerance).alias("tp"), (F.size("predicted") + F.col("invalid")).alias("n_predicted"), F.size("expected").alias("n_expected"), "invalid", "ignored", "unverifiable"
     )
     return with_rates(counts)
 

@@ -166,3 +166,28 @@ def _asking(printed):
         return pd.Series([bool(t) and printed(t, v) for t, v in zip(passage, value)], dtype=bool)
 
     return run
+
+
+def test_scores_of_a_large_case_take_one_pass(spark):
+    import time
+
+    n = 30_000
+    fact = lambda i, v: F.struct(F.lit("net income").alias("concept"), i.cast("int").alias("fiscal_year"), v.alias("value"))
+    every = F.sequence(F.lit(1), F.lit(n))
+    predicted, expected = F.transform(every, lambda i: fact(i, F.when(i % 3 == 0, i * 1.0).otherwise(i * 1.5))), F.transform(every, lambda i: fact(i, i * 1.0))
+    began = time.perf_counter()
+    row = ex.scored(spark.range(1).select(F.lit(1).alias("case_id"), predicted.alias("predicted"), expected.alias("expected"), F.lit(2).alias("invalid"))).first()
+    assert (row["tp"], row["n_predicted"], row["n_expected"]) == (n // 3, n + 2, n) and time.perf_counter() - began < 60
+
+
+def test_scores_of_repeated_null_and_missing_facts(spark):
+    rows = [
+        (1, [("a", 1, 5.0), ("a", 1, 5.0), ("a", 1, 9.0), ("b", 1, 5.0)], [("a", 1, 9.0), ("a", 1, 5000.0), ("c", 1, 5.0)]),
+        (2, [(None, 1, 5.0), ("a", None, 5.0), ("a", 1, None), ("a", 2, 0.0), None], [(None, 1, 5.0), ("a", None, 5.0), ("a", 1, 5.0), ("a", 2, 0.0)]),
+        (2, [("a", 1, -5.0)], [("a", 1, 5.0)]),
+        (None, [], []),
+        (4, [("a", 1, 5.0)], []),
+    ]
+    cases = spark.createDataFrame(rows, f"case_id int, predicted {ex.FACTS}, expected {ex.FACTS}").withColumn("invalid", F.lit(0))
+    got = sorted(((r["case_id"] or 0, r["tp"], r["n_predicted"], r["n_expected"]) for r in ex.scored(cases).collect()))
+    assert got == [(0, 0, 0, 0), (1, 3, 4, 3), (2, 1, 1, 1), (2, 1, 5, 4), (4, 0, 1, 0)]
