@@ -111,7 +111,10 @@ def built_chunks(sections: DataFrame, strategy: str, target: int = 512, overlap:
         raise ValueError(problem)
     if strategy == "section_aware":
         rows = chunking.chunked_sections(sections, "filing_id", target, overlap)
-        rows = rows.withColumn("token_est", F.greatest(F.lit(1), F.floor(F.length("body") / 4)).cast("int"))
+        rows = rows.withColumn("token_est", chunking.token_est())
+    elif strategy == "fixed":
+        rows = chunking.fixed_of_parts(sections, "filing_id", BETWEEN, target, overlap)
+        rows = rows.withColumns({"token_est": chunking.token_est(), "section_id": F.lit(None).cast("long")})
     else:
         parts = F.array_sort(F.collect_list(F.struct("ordinal", "body")))
         whole = sections.groupBy("filing_id").agg(F.array_join(F.transform(parts, lambda p: p["body"]), BETWEEN).alias("text"))

@@ -330,3 +330,34 @@ def test_records_are_read_back(spark, tmp_path):
     training.write_records(rows, f"file://{tmp_path}/train")
     got = tables.json_lines(spark, f"file://{tmp_path}/train", f"passage_id string, body string, labels array<{FACT}>").drop("line")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_fixed_chunks_of_parts_are_those_of_the_joined_text(spark, monkeypatch):
+    from kelpie.operators import chunking
+
+    monkeypatch.setattr(chunking, "BLOCK", 7)
+    words = [None, "", "a", "  ", "bb c", "déjà vu 日本 " * 3, "\t\x0b x \n", "0123456789" * 9]
+    parts = [(f, i % 5, words[(i * i + f) % len(words)]) for f in range(12) for i in range(f)] + [(None, 1, "no filing"), (50, 1, ""), (51, 1, None), (52, 1, "x" * 5000)]
+    sections = spark.createDataFrame([(f, i, i, None, None, b) for i, (f, o, b) in enumerate(parts)], "filing_id int, id int, ordinal int, item string, title string, body string")
+    sections = sections.withColumn("ordinal", sections.ordinal % 5)
+    texts = {}
+    for f, o, b in sorted(((f, i % 5, b) for i, (f, o, b) in enumerate(parts) if b is not None), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2])):
+        texts.setdefault(f, []).append(b)
+    for target, overlap in ((3, 1), (2, 0), (5, 4), (1, -1)):
+        size, step = target * 4, (target - overlap) * 4
+        want = []
+        for f, bodies in texts.items():
+            text = "\n\n".join(bodies)
+            starts = range(0, max(0, -(-(len(text) - size) // step)) * step + 1, step) if text else ()
+            want += [(f, n, c) for n, at in enumerate(starts) if (c := text[at : at + size].strip(" \t\n\r\x0b\f"))]
+        got = [(r["filing_id"], r["ordinal"], r["body"]) for r in jobs.built_chunks(sections, "fixed", target, overlap).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_filing_of_many_megabytes_is_cut_in_time(spark):
+    import time
+
+    one = spark.range(2).select(F.lit(1).alias("filing_id"), "id", F.col("id").alias("ordinal"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("string").alias("title"), F.repeat(F.lit("0123456789abcdef"), 500_000).alias("body"))
+    began = time.perf_counter()
+    assert jobs.built_chunks(one, "fixed").agg(F.count("*"), F.max("ordinal")).first() == (8929, 8928)  # of 16,000,002 characters
+    assert time.perf_counter() - began < 60
